@@ -1,4 +1,67 @@
-"""Registry of the core queries."""
+"""Registry of the core queries and of the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import hierarchy, nested, packed
+from ..session import table
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of the packed fields in a row of its own."""
+    fields = ("wikidata_entities", "wikidata_paths_llm", "paths")
+    sheet = table(spark, d, "question_sheet").select("pair_id", F.lit("").alias("variant"), *fields[:2], F.lit(None).cast("string").alias("paths"))
+    variants = table(spark, d, "context_variants").select(
+        "pair_id", F.coalesce("variant", F.lit("")).alias("variant"), *[F.lit(None).cast("string").alias(f) for f in fields[:2]], "paths"
+    )
+    return packed.split_packed(sheet.unionByName(variants))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Root, depth, path and number of descendants of every node."""
+    return hierarchy.build_hierarchy(hierarchy.hierarchy_links(table(spark, d, "snomed_parent_child_triples_metadata")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every step of every raw path with the run, question and path it belongs to."""
+    steps = nested.flatten_runs(table(spark, d, "path_runs"), "steps")
+    return steps.select("run_id", "max_hops", "question_id", "path_no", "step_no", "kind", "member_id")
+
+
+QUERIES: dict = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+
+ORACLE_SQL: dict = {
+    "p5_found": """
+        WITH RECURSIVE clean AS (
+            SELECT nullif(upper(trim(head_id)), '') AS h, nullif(upper(trim(tail_id)), '') AS t, relation_id AS r
+            FROM snomed_parent_child_triples_metadata WHERE relation_id IN ('P9104117', 'P9107342')),
+        link AS (
+            SELECT child, min(parent) AS parent FROM (
+                SELECT CASE WHEN r = 'P9104117' THEN h ELSE t END AS child,
+                       CASE WHEN r = 'P9104117' THEN t ELSE h END AS parent
+                FROM clean WHERE h IS NOT NULL AND t IS NOT NULL) GROUP BY 1),
+        node AS (SELECT child AS id FROM link UNION SELECT parent FROM link),
+        down AS (
+            SELECT id AS node_id, id AS root_id, 0 AS depth, id AS node_path FROM node WHERE id NOT IN (SELECT child FROM link)
+            UNION ALL
+            SELECT l.child, d.root_id, d.depth + 1, d.node_path || '/' || l.child FROM down d JOIN link l ON l.parent = d.node_id),
+        above AS (
+            SELECT child AS id, parent AS up FROM link WHERE child NOT IN (SELECT node_id FROM down)
+            UNION
+            SELECT a.id, l.parent FROM above a JOIN link l ON l.child = a.up),
+        ring AS (SELECT id FROM above WHERE id = up),
+        placed AS (
+            SELECT node_id, root_id, depth, node_path FROM down
+            UNION ALL
+            SELECT id, min(up), -1, '' FROM above WHERE up IN (SELECT id FROM ring) GROUP BY id),
+        below AS (
+            SELECT up, count(*) AS n FROM (
+                SELECT up, id FROM above WHERE up <> id
+                UNION ALL
+                SELECT unnest(string_split(node_path, '/')[1:-2]), node_id FROM down) GROUP BY up)
+        SELECT node_id, root_id, CAST(depth AS INTEGER) AS depth, node_path, coalesce(n, 0) AS n_descendants
+        FROM placed LEFT JOIN below ON up = node_id
+    """,
+}
