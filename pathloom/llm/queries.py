@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import group_topn, leakage, repetition, tokenize
+from . import broken_pairs, group_topn, leakage, repetition, tokenize
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective question-answer pairs with the type of their defect."""
+    examples = broken_pairs.language_examples(table(spark, d, "documents"), "text", "lang")
+    return broken_pairs.broken_pairs(table(spark, d, "question_sheet"), examples)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +37,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 ORACLE_SQL = {
     "p2_found": """
