@@ -62,7 +62,10 @@ def words_of(text: Column) -> Column:
 
 
 def _repeated_words(words: Column, run: int) -> Column:
-    """How many words lie in a run of ``run`` words that equals an earlier run of the same array."""
+    """How many words lie in a run of ``run`` words that equals an earlier run of the same array.
+
+    ``words`` must be bound (see ``_let``): it is read once for every run.
+    """
     last = F.size(words) - run
     runs = F.when(
         last >= 0,
@@ -74,12 +77,10 @@ def _repeated_words(words: Column, run: int) -> Column:
 
     def later(s: Column) -> Column:
         rest = F.greatest(F.size(s) - 1, F.lit(0))
-        pairs = F.zip_with(
-            F.slice(s, 1, rest), F.slice(s, 2, rest), lambda a, b: F.when(a["h"] == b["h"], b["i"])
-        )
-        return F.array_sort(F.filter(pairs, lambda i: i.isNotNull()))
+        pairs = F.zip_with(F.slice(s, 1, rest), F.slice(s, 2, rest), lambda a, b: F.when(a["h"] == b["h"], b["i"]))
+        return F.sort_array(F.filter(pairs, lambda i: i.isNotNull()))
 
-    starts = _let(F.array_sort(runs), later)
+    starts = _let(F.sort_array(runs), later)
     state = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     return F.aggregate(
         starts,
@@ -93,6 +94,26 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def _word_measures(words: Column, run: int) -> Column:
+    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    n = F.size(words)
+    stops = F.size(F.filter(words, lambda w: F.array_contains(stop, w)))
+    return _let(
+        _repeated_words(words, run),
+        lambda repeated: F.struct(
+            n.alias("n_words"),
+            repeated.alias("n_repeated_words"),
+            _share(repeated, n).alias("repeated_share"),
+            _share(stops, n).alias("stop_word_share"),
+        ),
+    )
+
+
+def _line_measures(text: Column) -> Column:
+    lines = F.filter(F.transform(F.split(text, r"\R"), F.trim), lambda x: x != "")
+    return _let(lines, lambda x: _share(F.size(x) - F.size(F.array_distinct(x)), F.size(x)))
+
+
 def repetition_metrics(docs: DataFrame, text_col: str = "text", run: int = RUN_WORDS) -> DataFrame:
     """Every column of ``docs`` plus the measures the thresholds refer to.
 
@@ -103,28 +124,17 @@ def repetition_metrics(docs: DataFrame, text_col: str = "text", run: int = RUN_W
     within one document.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.transform(F.split(text, r"\R"), F.trim), lambda x: x != "")
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
-    step = docs.withColumns({"_words": words_of(F.col(text_col)), "_lines": lines})
-    step = step.withColumns(
-        {
-            "n_words": F.size("_words"),
-            "n_repeated_words": _repeated_words(F.col("_words"), run),
-            "_stop": F.size(F.filter(F.col("_words"), lambda w: F.array_contains(stop, w))),
-            "_chars": F.length(text),
-            "_symbols": F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")),
-            "_line_total": F.size("_lines"),
-            "_line_distinct": F.size(F.array_distinct("_lines")),
-        }
-    )
-    return step.withColumns(
+    measures = _let(words_of(F.col(text_col)), lambda w: _word_measures(w, run))
+    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", ""))
+    return docs.withColumns(
         {
-            "repeated_share": _share(F.col("n_repeated_words"), F.col("n_words")),
-            "stop_word_share": _share(F.col("_stop"), F.col("n_words")),
-            "symbol_share": _share(F.col("_symbols"), F.col("_chars")),
-            "repeated_line_share": _share(F.col("_line_total") - F.col("_line_distinct"), F.col("_line_total")),
+            "_words": measures,
+            "symbol_share": _share(symbols, F.length(text)),
+            "repeated_line_share": _line_measures(text),
         }
-    ).drop("_words", "_lines", "_stop", "_chars", "_symbols", "_line_total", "_line_distinct")
+    ).withColumns(
+        {c: F.col("_words")[c] for c in ("n_words", "n_repeated_words", "repeated_share", "stop_word_share")}
+    ).drop("_words")
 
 
 def repetition_flags(
