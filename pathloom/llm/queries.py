@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import broken_pairs, group_topn, leakage, repetition, tokenize
+from . import broken_pairs, group_topn, leakage, repetition, tokenize, vector_topk
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("question_id", "rank_no", F.col("item_id").alias("relation_id"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest entities of every question and entity vector."""
+    near = vector_topk.nearest(table(spark, d, "vector_collection"), "entities", k=5)
+    return near.select("vector_id", F.col("neighbour_id").alias("entity_id"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_corpus(table(spark, d, "documents"))
@@ -37,7 +43,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 ORACLE_SQL = {
     "p2_found": """
