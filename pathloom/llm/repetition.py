@@ -110,7 +110,7 @@ def _word_measures(words: Column, run: int) -> Column:
 
 
 def _line_measures(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, r"\R"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
     return _let(lines, lambda x: _share(F.size(x) - F.size(F.array_distinct(x)), F.size(x)))
 
 
