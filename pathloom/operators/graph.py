@@ -148,16 +148,17 @@ def bfs_pair_paths(pairs: DataFrame, capped: DataFrame, max_depth: int = BFS_DEP
     )
     found = None
     for depth in range(1, max_depth + 1):
-        grown = walks.join(step, F.col("node") == F.col("h")).select(
-            "s", F.col("tail").alias("node"), F.concat("ord", F.array("edge_ord")).alias("ord"), F.concat("path", F.array(triple)).alias("path")
-        )
-        least = grown.groupBy("s", "node").agg(F.min(F.struct("ord", "path")).alias("w"))
-        walks = cut(least.select("s", "node", F.col("w.ord").alias("ord"), F.col("w.path").alias("path")))
-        hit = open_.join(walks.withColumnRenamed("node", "e"), ["s", "e"]).select("s", "e", F.lit(depth).alias("depth"), "path")
+        # the last edge is joined on both of its ends, so the widest level is never spread out
+        last = open_.join(walks, "s").join(step, (F.col("node") == F.col("h")) & (F.col("e") == F.col("tail")))
+        grown = F.struct(F.concat("ord", F.array("edge_ord")).alias("ord"), F.concat("path", F.array(triple)).alias("path"))
+        hit = last.groupBy("s", "e").agg(F.min(grown).alias("w")).select("s", "e", F.lit(depth).alias("depth"), F.col("w.path").alias("path"))
+        hit = cut(hit)
         found = hit if found is None else found.unionByName(hit)
         if depth < max_depth:
-            open_ = cut(open_.join(hit.select("s", "e"), ["s", "e"], "left_anti"))
-            walks = walks.join(open_.select("s").distinct(), "s", "left_semi")
+            open_ = open_.join(hit.select("s", "e"), ["s", "e"], "left_anti")
+            onward = walks.join(open_.select("s").distinct(), "s", "left_semi").join(step, F.col("node") == F.col("h"))
+            least = onward.groupBy("s", F.col("tail").alias("node")).agg(F.min(grown).alias("w"))
+            walks = cut(least.select("s", "node", F.col("w.ord").alias("ord"), F.col("w.path").alias("path")))
     return found
 
 
