@@ -165,7 +165,9 @@ def parse_answer(text: str) -> Parsed:
         elif kind == "hard":
             inside = any(s in stack for s in ('"', "'"))
             strong = "\n" in piece or "\r" in piece or "\t" in piece
-            if not inside or (strong and '"' not in stack):
+            if in_path() and not strong and state in (1, 2) and "".join(label).strip():
+                label.append(piece)  # a label of an open triple may contain it
+            elif not inside or (strong and '"' not in stack):
                 pop()
                 if strong or done:
                     after = []

@@ -1,0 +1,85 @@
+import numpy as np
+import pytest
+
+from pathloom.llm import vector_topk as vt
+
+KIND = "collection string, id string, embedding array<float>, vec int, cell int, h1 string"
+
+
+def make(seed, n_entities=300, n_questions=80, dims=64):
+    r = np.random.default_rng(seed)
+    rows, centres = [], r.normal(size=(25, dims))
+    for i in range(n_entities + n_questions):
+        v = centres[int(25 * r.random() ** 2)] + 0.2 * r.normal(size=dims)
+        v = v * r.uniform(0.1, 5)
+        rows.append(("entities" if i < n_entities else "questions", f"Q{i:04d}" if i < n_entities else f"question_{i}", [float(x) for x in v.astype("f4")]))
+    same = rows[5][2]
+    rows += [("entities", f"X{i:02d}", same) for i in range(20)] + [("questions", "question_same", same)]
+    rows += [("entities", f"S{i}", [2 * x for x in rows[7][2]]) for i in range(3)]
+    rows += rows[:30]  # repeated rows
+    bad = [None, [], [1.0], [0.0] * dims, [float("nan")] + [1.0] * (dims - 1), [float("inf")] * dims, [None] * dims]
+    rows += [("entities", f"bad{i}", b) for i, b in enumerate(bad)] + [("entities", "Q0001", bad[3]), ("entities", None, same), (None, "lost", same)]
+    return [(*x, 1, 2, "x") for x in rows]
+
+
+def brute(rows, k=5):
+    found, entities = {}, {}
+    for c, i, e, *_ in rows:
+        if i is None or e is None or len(e) != 64 or any(x is None or not np.isfinite(x) for x in e) or not any(e):
+            continue
+        v = np.array(e, dtype=np.float64)
+        found[i] = v / np.linalg.norm(v)
+        if c == "entities":
+            entities[i] = found[i]
+    names = sorted(entities)
+    m = np.array([entities[i] for i in names])
+    out = {}
+    for i, v in found.items():
+        s = np.round(m @ v, 6)
+        out[i] = [names[j] for j in sorted(range(len(names)), key=lambda j: (-s[j], names[j])) if names[j] != i][:k]
+    return out
+
+
+def lists(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.vector_id, []).append((r.rank_no, r.neighbour_id))
+    return {i: [n for _, n in sorted(x)] for i, x in got.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_exact_where_all_cells_are_searched(spark, seed):
+    rows = make(seed)
+    assert lists(vt.nearest(spark.createDataFrame(rows, KIND).repartition(4), probes=None, cell_rows=40)) == brute(rows)
+
+
+def test_recall_of_the_index(spark):
+    rows = make(3, 900, 200)
+    want, got = brute(rows), lists(vt.nearest(spark.createDataFrame(rows, KIND), probes=6, cell_rows=20))
+    assert got.keys() == want.keys()
+    assert sum(len(set(want[i]) & set(got[i])) for i in want) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_split_tiles(spark, monkeypatch):
+    monkeypatch.setattr(vt, "TILE_CANDIDATES", 30)
+    monkeypatch.setattr(vt, "TILE_QUERIES", 50)
+    rows = make(4)
+    assert lists(vt.nearest(spark.createDataFrame(rows, KIND), probes=None, cell_rows=100)) == brute(rows)
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(0)
+    x = vt._unit(r.normal(size=(200, 64)))
+    codes, scale, left = vt._quantised(x)
+    rough = (codes.astype(int) @ codes.T.astype(int)) * scale[:, None] * scale[None, :]
+    assert (np.abs(rough - x @ x.T) <= left[:, None] * (1 + left[None, :]) + left[None, :] + 1e-12).all()
+    assert np.array_equal(codes.astype(np.float32) @ codes.T.astype(np.float32), codes.astype(int) @ codes.T.astype(int))
+
+
+def test_few_none_and_unusable(spark):
+    v = [[1.0] + [0.0] * 63, [1.0, 1.0] + [0.0] * 62]
+    df = spark.createDataFrame([("entities", "a", v[0], 1, 1, "x"), ("entities", "b", v[1], 1, 1, "x"), ("questions", "q", v[1], 1, 1, "x")], KIND)
+    assert lists(vt.nearest(df)) == {"a": ["b"], "b": ["a"], "q": ["b", "a"]}
+    assert vt.nearest(df.limit(0)).collect() == []
+    assert vt.nearest(df.filter("collection = 'questions'")).collect() == []
+    assert vt.nearest(spark.createDataFrame([("entities", "a", [0.0] * 64, 1, 1, "x")], KIND)).collect() == []
