@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import fits_broadcast, written
 
 #: Weight of a piece that a choice would leave over, and of a value never seen for certain.
 LEFT_OVER, UNSEEN = 0.1, 0.05
@@ -251,7 +251,7 @@ def learn_frequencies(slots: DataFrame, contested: DataFrame, rounds: int = EM_R
     key = ["pair_id", "field", "variant", "pos", "items"]
     open_ = contested.select(*key, F.posexplode("heads").alias("choice", "head"))
     names = open_.select("head").distinct()
-    small = names.limit(CONTESTED_BROADCAST_BYTES // CONTESTED_ROW_BYTES + 1).count() <= CONTESTED_BROADCAST_BYTES // CONTESTED_ROW_BYTES
+    small = fits_broadcast(names, CONTESTED_ROW_BYTES, CONTESTED_BROADCAST_BYTES)
     seen = slots.filter(F.size("heads") == 1).select(F.col("heads")[0].alias("head"))
     certain = seen.join(F.broadcast(names) if small else names, "head").groupBy("head").agg(F.count("*").cast("double").alias("certain"))
     # choice k leaves k pieces over
@@ -259,10 +259,12 @@ def learn_frequencies(slots: DataFrame, contested: DataFrame, rounds: int = EM_R
     slot = Window.partitionBy(*key)
     lattice = start.withColumn("prior", F.pow(F.lit(LEFT_OVER), F.col("choice"))).withColumn("freq", F.col("certain"))
     for _ in range(rounds):
-        lattice = lattice.withColumn("weight", F.col("freq") * F.col("prior"))
-        lattice = lattice.withColumn("share", F.col("weight") / F.sum("weight").over(slot))
-        lattice = lattice.withColumn("freq", F.col("certain") + F.sum("share").over(Window.partitionBy("head")))
-        lattice = written(lattice)
+        weighed = lattice.withColumn("weight", F.col("freq") * F.col("prior"))
+        shared = weighed.select(*start.columns, "prior", (F.col("weight") / F.sum("weight").over(slot)).alias("share"))
+        # sums in part before the shuffle: a value may be in a third of all slots
+        expected = shared.groupBy("head").agg(F.sum("share").alias("expected"))
+        merged = shared.join(F.broadcast(expected) if small else expected, "head")
+        lattice = written(merged.select(*start.columns, "prior", (F.col("certain") + F.col("expected")).alias("freq")))
     return lattice.withColumn("weight", F.col("freq") * F.col("prior"))
 
 
