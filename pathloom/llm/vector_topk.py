@@ -28,6 +28,8 @@ CELL_ROWS, MOST_CELLS, PROBES = 1500, 4096, 8
 SAMPLE_PER_CELL = 16
 #: Most rows of either side of a tile, and query rows multiplied at once.
 TILE_CANDIDATES, TILE_QUERIES, CHUNK_QUERIES = 8192, 16384, 512
+#: Room for the rounding of single-precision sums, in cosine.
+FLOAT_SLACK = 1e-5
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -106,32 +108,37 @@ def _tile(k: int, dims: int, rounding: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not len(queries) or not len(candidates):
             return schema.empty_table()
-        ids = candidates["ids"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda j: ids[j][0])
-        ids = [ids[j] for j in order]
+        # candidates in the order of their first id; owned[at[j] : at[j + 1]] are all ids of candidate j
+        ids = candidates["ids"].combine_chunks()
+        order = np.array(pc.sort_indices(pc.list_element(ids, 0)))
+        ids = ids.take(pa.array(order))
+        counts = np.array(pc.list_value_length(ids), dtype=np.int64)
+        at = np.r_[0, np.cumsum(counts)]
+        owned = ids.flatten()
+        id_rank = np.empty(len(owned), dtype=np.int64)
+        id_rank[np.array(pc.sort_indices(owned))] = np.arange(len(owned))
         x = _unit(_matrix(candidates["found"], dims))[order]
         q_all = _unit(_matrix(queries["vec"], dims))
         codes, scale, left_out = _quantised(x)
         worst = float(left_out.max())
-        # whole numbers below 2**24, so the float product of the codes is exact
-        block = np.ascontiguousarray(codes.T, dtype=np.float32)
-        scale32 = scale.astype(np.float32)
+        # products of codes are whole numbers below 2**24 and exact as floats; the candidates' scales are folded in
+        block = np.ascontiguousarray((codes * scale[:, None]).T, dtype=np.float32)
         take = min(k, len(x))
         groups = max(1, len(x) // 64)
-        ends, flat_d, flat_id = [0], [], []
+        lengths, flat_d, flat_at = [], [], []
         for start in range(0, len(q_all), CHUNK_QUERIES):
             q = q_all[start : start + CHUNK_QUERIES]
             q_codes, q_scale, q_left = _quantised(q)
             rough = q_codes.astype(np.float32) @ block
-            rough *= scale32
             # the take-th best of the groups' maxima is a lower bound of the take-th best
             if groups > 2 * take:
                 whole = rough[:, : len(x) // groups * groups].reshape(len(q), -1, groups).max(axis=1)
             else:
                 whole = rough
             floor = np.partition(whole, whole.shape[1] - take, axis=1)[:, whole.shape[1] - take]
-            slack = (q_left * (1 + worst) + worst + 10.0**-rounding) / q_scale
-            i, j = np.nonzero(rough >= (floor - 2.001 * slack.astype(np.float32))[:, None])
+            slack = (q_left * (1 + worst) + worst + FLOAT_SLACK + 10.0**-rounding) / q_scale
+            flat = np.flatnonzero(rough >= (floor - 2 * slack.astype(np.float32))[:, None])
+            i, j = np.divmod(flat, len(x))
             cosine = np.empty(len(i))
             for s in range(0, len(i), 1 << 18):
                 part = slice(s, s + (1 << 18))
@@ -141,17 +148,22 @@ def _tile(k: int, dims: int, rounding: int):
             i, j, d = i[best], j[best], d[best]
             first = np.searchsorted(i, np.arange(len(q)))
             within = np.arange(len(i)) - first[i]
-            keep = within < take
-            lists: list[list] = [[] for _ in range(len(q))]
-            for a, b, dist in zip(i[keep].tolist(), j[keep].tolist(), d[keep].tolist()):
-                lists[a].extend((dist, one) for one in ids[b])
-            for found in lists:
-                found = sorted(found)[:k]
-                flat_d += [f[0] for f in found]
-                flat_id += [f[1] for f in found]
-                ends.append(len(flat_d))
-        struct = pa.StructArray.from_arrays([pa.array(flat_d, pa.float64()), pa.array(flat_id, pa.string())], ["d", "id"])
-        near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
+            i, j, d = (v[within < take] for v in (i, j, d))
+            reps = counts[j]
+            which = np.repeat(at[j], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+            i, d = np.repeat(i, reps), np.repeat(d, reps)
+            if len(which) > len(j):  # equal vectors under several ids
+                best = np.lexsort((id_rank[which], d, i))
+                i, d, which = i[best], d[best], which[best]
+                first = np.searchsorted(i, np.arange(len(q)))
+                short = np.arange(len(i)) - first[i] < k
+                i, d, which = i[short], d[short], which[short]
+            lengths.append(np.bincount(i, minlength=len(q)))
+            flat_d.append(d)
+            flat_at.append(which)
+        names_of = owned.take(pa.array(np.concatenate(flat_at)))
+        struct = pa.StructArray.from_arrays([pa.array(np.concatenate(flat_d)), names_of], ["d", "id"])
+        near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(lengths))], pa.int32()), struct)
         return pa.table([queries["h1"], queries["h2"], near], names=names)
 
     return run
