@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fits_broadcast
+
 #: Bounds are broadcast up to this size; beyond it they are joined by a shuffle of the pre-aggregated items.
 BROADCAST_BYTES, BOUND_ROW_BYTES = 32 << 20, 96
 #: Rows a worker gathers before it reduces them.
@@ -112,8 +114,7 @@ def top_items(
         rows.mapInArrow(_reduce(n, _bounds_only(n)), "grp string, bound double").groupBy("grp").agg(F.max("bound").alias("bound"))
     )
     bounds = bounds.persist()
-    most = max(1, broadcast_bytes // BOUND_ROW_BYTES)
-    small = bounds.limit(most + 1).count() <= most
+    small = fits_broadcast(bounds, BOUND_ROW_BYTES, broadcast_bytes)
     local = rows.mapInArrow(_reduce(n, _local_best(n)), "grp string, item string, score double")
     kept = local.join(F.broadcast(bounds) if small else bounds, "grp", "left").filter(
         F.col("bound").isNull() | (F.col("score") >= F.col("bound"))
