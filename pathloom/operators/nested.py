@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import storable
+
 # The kinds of a path's steps.
 STEP_KINDS = ("entity", "predicate")
 #: JSON text within JSON text is decoded down to this depth.
@@ -143,11 +145,11 @@ class RunBuffers:
 
     def add(self, run: list[tuple[str, list]]) -> None:
         for question, found in run:
-            self.question_ids.append(question)
+            self.question_ids.append(question and storable(question))
             for path in found:
                 for kind, member in path:
                     self.kinds.append(kind)
-                    self.members.append(member)
+                    self.members.append(storable(member))
                 self.steps.append(len(self.kinds))
             self.paths.append(len(self.steps) - 1)
         self.runs.append(len(self.question_ids))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast, written
+from ..session import fits_broadcast, storable, written
 
 #: Weight of a piece that a choice would leave over, and of a value never seen for certain.
 LEFT_OVER, UNSEEN = 0.1, 0.05
@@ -50,7 +50,9 @@ _NAMED = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
 def _unescape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _NAMED.get(m[1], m[1]), text) if "\\" in text else text
+    if "\\" not in text:
+        return text
+    return storable(_ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _NAMED.get(m[1], m[1]), text))
 
 
 def _starts(text: str, low: int, first: int) -> list[int]:

@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def storable(text: str) -> str:
+    """``text`` as valid Unicode: escaped surrogate pairs become their character, lone halves the replacement sign."""
+    if text.isascii() or not any("\ud800" <= c <= "\udfff" for c in text):
+        return text
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int) -> bool:
     """Whether ``df`` has provably at most ``limit_bytes`` when a row takes ``row_bytes``.
 

@@ -62,6 +62,12 @@ def test_flat_tables(spark):
         nested.flatten_runs(runs, "rows")
 
 
+def test_broken_unicode(spark):
+    results = '[{"question_id": "q\\ud83d", "raw_paths": [["entity", "Q\\ud83d\\ude42"]]}]'
+    runs = spark.createDataFrame([(1, "{}", results)], "run_id bigint, metadata string, results string")
+    assert [(r.question_id, r.member_id) for r in nested.flatten_runs(runs).collect()] == [("q\ufffd", "Q🙂")]
+
+
 def test_long_run(spark):
     results = json.dumps({f"q{i}": {"raw_paths": [STEPS] * 20} for i in range(300)})
     runs = spark.createDataFrame([(1, "{}", results)], "run_id bigint, metadata string, results string")

@@ -65,6 +65,10 @@ def test_nothing(cell):
     assert first(cell, True) == [] == first(cell, False)
 
 
+def test_escapes():
+    assert first('["caf\\u00e9 \\ud83d\\ude42 (Q1)", "half \\ud83d (Q2)"]', False) == ["café 🙂 (Q1)", "half \ufffd (Q2)"]
+
+
 def test_very_long_cell():
     assert len(first(" | ".join([B] * 5000), True)) == 5000
     assert first("x" * 200_000, True) == []
