@@ -1,12 +1,15 @@
 """The k most similar vectors of a collection for every vector.
 
 A block matrix join. Vectors are put into cells around centroids, and each one
-meets the candidates of the cells nearest to it, tile by tile. A tile
-multiplies int8 codes; with the exact quantisation residues this brackets every
-cosine, so only pairs whose upper bound reaches the query's k-th lower bound
-survive. Survivors are recomputed in double precision, and the short ordered
-lists of a query's tiles are merged. Equal vectors are one candidate with its
-smallest ids, so a vector that a third of all ids share costs no more than
+meets the candidates of its own cell first, then those of the cells nearest to
+it, tile by tile. A tile multiplies int8 codes; with the exact quantisation
+residues this brackets every cosine, so only pairs whose upper bound reaches
+the query's k-th lower bound survive. Survivors are recomputed in double
+precision, and the short ordered lists of a query's tiles are merged. The k-th
+best of the own cell bounds the rest of the search: a cell is left out where
+the plane between the two centroids is further from the query than any better
+candidate can be, which loses nothing. Equal vectors are one candidate with
+its smallest ids, so a vector that a third of all ids share costs no more than
 another.
 """
 
@@ -72,23 +75,51 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray
     return c
 
 
-def _place(centroids, probes: int, dims: int):
-    """Add the cells of each vector, nearest first; the first one is where it is found as a candidate."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts small enough for a matrix of a row by all cells."""
+    return (b.slice(i, CHUNK_QUERIES) for b in batches for i in range(0, max(1, b.num_rows), CHUNK_QUERIES))
+
+
+def _home(centroids, dims: int):
+    """Add the nearest cell of each vector: there it is found as a candidate, and there its search begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centroids.value
-        n = min(probes, len(c))
-        for batch in batches:
-            if batch.num_rows:
-                near = _unit(_matrix(batch.column("vec"), dims)).astype(np.float32) @ c.T
-                part = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(n), (len(near), 1))
-                order = np.argsort(-np.take_along_axis(near, part, axis=1), axis=1, kind="stable")
-                cells = np.take_along_axis(part, order, axis=1)
-            else:
-                cells = np.zeros((0, n), dtype=np.int64)
-            ends = pa.array(np.arange(batch.num_rows + 1) * n, pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(cells.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "cells"])
+        for batch in _slices(batches):
+            x = _unit(_matrix(batch.column("vec"), dims)).astype(np.float32)
+            cell = (x @ c.T).argmax(axis=1) if len(x) else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
+def _further(centroids, probes: int, dims: int):
+    """A row for each further cell in which a vector may have candidates better than the k-th of its own cell.
+
+    A candidate x of cell c is no nearer to the own centroid h than to c, and
+    one better than ``kth`` lies within sqrt(2 - 2 kth) of the query q; so c is
+    left out if q lies deeper on h's side of the plane between them than that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = centroids.value.astype(np.float64)
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T))).astype(np.float32)
+        for batch in _slices(batches):
+            q = _unit(_matrix(batch.column("vec"), dims))
+            if not len(q):
+                continue
+            home = batch.column("cell").to_numpy()
+            reach = np.sqrt(np.maximum(0.0, 2 - 2 * batch.column("kth").to_numpy())) + 1e-4
+            near = q @ c.T
+            depth = near[np.arange(len(q)), home][:, None] - near
+            open_ = depth <= reach[:, None] * apart[home] + 1e-6
+            open_[np.arange(len(q)), home] = False
+            if probes < len(c):
+                open_ &= near >= np.partition(near, len(c) - probes, axis=1)[:, len(c) - probes][:, None]
+            i, cell = np.nonzero(open_)
+            at = pa.array(i)
+            columns = [batch.column(n).take(at) for n in ("h1", "h2", "vec", "kth")]
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *columns], names=["cell", "h1", "h2", "vec", "kth"])
 
     return run
 
@@ -100,14 +131,24 @@ def _quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(unit - codes * scale[:, None], axis=1)
 
 
-def _tile(k: int, dims: int, rounding: int):
-    names = ["h1", "h2", "near"]
+def _tile(k: int, dims: int, rounding: int, opening: bool):
+    """The k best candidates of each query of a tile; of all of them if it is the ``opening``, else of those at ``kth`` or above.
+
+    The opening tile also passes on the vector and the least similarity that the k-th best of all will have.
+    """
     kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.string())]))
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("near", kind)])
+    fields = [("h1", pa.int64()), ("h2", pa.int64()), ("near", kind)]
+    schema = pa.schema(fields + [("vec", pa.binary()), ("kth", pa.float64()), ("cell", pa.int32()), ("c_no", pa.int32())] * opening)
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        if not len(queries) or not len(candidates):
+        if not len(queries):
             return schema.empty_table()
+        if not len(candidates):
+            if not opening:
+                return schema.empty_table()
+            none = pa.array([[]] * len(queries), kind)
+            kept = [queries[n] for n in ("vec", "cell", "c_no")]
+            return pa.table([queries["h1"], queries["h2"], none, kept[0], pa.array([-1.0] * len(queries)), *kept[1:]], schema=schema)
         # candidates in the order of their first id; owned[at[j] : at[j + 1]] are all ids of candidate j
         ids = candidates["ids"].combine_chunks()
         order = np.array(pc.sort_indices(pc.list_element(ids, 0)))
@@ -126,18 +167,22 @@ def _tile(k: int, dims: int, rounding: int):
         take = min(k, len(x))
         groups = max(1, len(x) // 64)
         lengths, flat_d, flat_at = [], [], []
+        known = None if opening else queries["kth"].to_numpy()
         for start in range(0, len(q_all), CHUNK_QUERIES):
             q = q_all[start : start + CHUNK_QUERIES]
             q_codes, q_scale, q_left = _quantised(q)
             rough = q_codes.astype(np.float32) @ block
-            # the take-th best of the groups' maxima is a lower bound of the take-th best
-            if groups > 2 * take:
-                whole = rough[:, : len(x) // groups * groups].reshape(len(q), -1, groups).max(axis=1)
-            else:
-                whole = rough
-            floor = np.partition(whole, whole.shape[1] - take, axis=1)[:, whole.shape[1] - take]
             slack = (q_left * (1 + worst) + worst + FLOAT_SLACK + 10.0**-rounding) / q_scale
-            flat = np.flatnonzero(rough >= (floor - 2 * slack.astype(np.float32))[:, None])
+            if opening:
+                # the take-th best of the groups' maxima is a lower bound of the take-th best
+                if groups > 2 * take:
+                    whole = rough[:, : len(x) // groups * groups].reshape(len(q), -1, groups).max(axis=1)
+                else:
+                    whole = rough
+                floor = np.partition(whole, whole.shape[1] - take, axis=1)[:, whole.shape[1] - take] - 2 * slack.astype(np.float32)
+            else:
+                floor = (known[start : start + CHUNK_QUERIES] / q_scale - slack).astype(np.float32)
+            flat = np.flatnonzero(rough >= floor[:, None])
             i, j = np.divmod(flat, len(x))
             cosine = np.empty(len(i))
             for s in range(0, len(i), 1 << 18):
@@ -164,7 +209,16 @@ def _tile(k: int, dims: int, rounding: int):
         names_of = owned.take(pa.array(np.concatenate(flat_at)))
         struct = pa.StructArray.from_arrays([pa.array(np.concatenate(flat_d)), names_of], ["d", "id"])
         near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(lengths))], pa.int32()), struct)
-        return pa.table([queries["h1"], queries["h2"], near], names=names)
+        columns = [queries["h1"], queries["h2"], near]
+        if not opening:
+            some = pc.greater(pc.list_value_length(near), 0)
+            return pa.table(columns, schema=schema).filter(some)
+        # one rounding step below the k-th distance of this tile; without k candidates anything may be better
+        counts_ = np.concatenate(lengths)
+        last = np.cumsum(counts_) - 1
+        distance = np.concatenate(flat_d)
+        kth = np.where(counts_ >= k, -distance[np.maximum(last, 0)] - 10.0**-rounding, -1.0) if len(distance) else np.full(len(counts_), -1.0)
+        return pa.table([*columns, queries["vec"], pa.array(kth), queries["cell"], queries["c_no"]], schema=schema)
 
     return run
 
@@ -206,6 +260,7 @@ def nearest(
         return spark.createDataFrame([], out)
     centroids = fit_centroids(np.frombuffer(b"".join(sample), dtype=np.float32).reshape(-1, dims), cells)
     probes = len(centroids) if probes is None else min(probes, len(centroids))
+    shared = spark.sparkContext.broadcast(centroids)
 
     smallest = Window.partitionBy("h1", "h2").orderBy("id")
     names = (
@@ -214,33 +269,35 @@ def nearest(
         .groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     )
     distinct = usable.groupBy("h1", "h2").agg(F.first("vec").alias("vec")).join(names, ["h1", "h2"], "left")
-    placed = written(
-        distinct.mapInArrow(
-            _place(spark.sparkContext.broadcast(centroids), probes, dims),
-            "h1 bigint, h2 bigint, vec binary, ids array<string>, cells array<int>",
-        )
-    )
-    home = placed.filter("ids is not null").groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("c"))
-    asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("q"))
-    sizes = home.join(asked, "cell").select(
-        "cell",
-        F.ceil(F.col("c") / TILE_CANDIDATES).cast("int").alias("n_c"),
-        F.ceil(F.col("q") / TILE_QUERIES).cast("int").alias("n_q"),
-    )
-    sizes = F.broadcast(written(sizes))  # a row a cell: at most MOST_CELLS
+    placed = written(distinct.mapInArrow(_home(shared, dims), "h1 bigint, h2 bigint, vec binary, ids array<string>, cell int"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     tile = ["cell", "c_no", "q_no"]
-    candidates = (
-        placed.filter("ids is not null").select(F.col("cells")[0].alias("cell"), "h1", "vec", "ids").join(sizes, "cell")
-        .select("cell", F.pmod("h1", F.col("n_c")).cast("int").alias("c_no"), upto("n_q").alias("q_no"), F.col("vec").alias("found"), "ids")
-    )
-    queries = (
-        placed.select(F.explode("cells").alias("cell"), "h1", "h2", "vec").join(sizes, "cell")
-        .select("cell", upto("n_c").alias("c_no"), F.pmod("h2", F.col("n_q")).cast("int").alias("q_no"), "h1", "h2", "vec")
-    )
-    near = queries.groupBy(*tile).cogroup(candidates.groupBy(*tile)).applyInArrow(
-        _tile(k + 1, dims, rounding), "h1 bigint, h2 bigint, near array<struct<d:double,id:string>>"
-    )
+    row = "h1 bigint, h2 bigint, near array<struct<d:double,id:string>>"
+
+    def tiles(asked: DataFrame, first: bool) -> DataFrame:
+        """Compare the vectors of ``asked`` with the candidates of their ``cell``, in tiles of bounded size."""
+        home = placed.filter("ids is not null").groupBy("cell").agg(F.count("*").alias("c"))
+        sizes = asked.groupBy("cell").agg(F.count("*").alias("q")).join(home, "cell", "left" if first else "inner").select(
+            "cell",
+            F.ceil(F.greatest(F.coalesce("c", F.lit(1)), F.lit(1)) / TILE_CANDIDATES).cast("int").alias("n_c"),
+            F.ceil(F.col("q") / TILE_QUERIES).cast("int").alias("n_q"),
+        )
+        sizes = F.broadcast(written(sizes))  # a row a cell: at most MOST_CELLS
+        candidates = (
+            placed.filter("ids is not null").select("cell", "h1", F.col("vec").alias("found"), "ids").join(sizes, "cell")
+            .select(F.col("cell").alias("cell"), F.pmod("h1", F.col("n_c")).cast("int").alias("c_no"), upto("n_q").alias("q_no"), F.col("found"), F.col("ids").alias("ids"))
+        )
+        queries = asked.join(sizes, "cell").withColumn("c_no", upto("n_c")).withColumn("q_no", F.pmod("h2", F.col("n_q")).cast("int")).drop("n_c", "n_q")
+        kind = row + (", vec binary, kth double, cell int, c_no int" if first else "")
+        return queries.groupBy(*tile).cogroup(candidates.groupBy(*tile)).applyInArrow(_tile(k + 1, dims, rounding, first), kind)
+
+    own = written(tiles(placed.select("cell", "h1", "h2", "vec"), True))
+    # where a cell has several candidate tiles, the best of their bounds holds
+    bounds = own.filter("c_no > 0").groupBy("h1", "h2").agg(F.max("kth").alias("other"))
+    begun = own.filter("c_no = 0").join(bounds, ["h1", "h2"], "left")
+    begun = begun.select("cell", "h1", "h2", "vec", F.greatest("kth", F.coalesce("other", F.lit(-1.0))).alias("kth"))
+    onward = begun.mapInArrow(_further(shared, probes, dims), "cell int, h1 bigint, h2 bigint, vec binary, kth double")
+    near = own.select("h1", "h2", "near").unionByName(tiles(written(onward), False))
     merged = near.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     searched = usable.select("id", "h1", "h2").distinct()
     others = searched.join(merged, ["h1", "h2"]).select(
