@@ -390,9 +390,9 @@ def paths_3hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.paths_3hop(_pairs(spark, d), cut(cat.edges(spark, d)))
 
 
-def _found(spark: SparkSession, d: str, max_hops: int = 3) -> DataFrame:
-    """(s, e, hops, steps, path) of the distinct pairs."""
-    found = graph.find_paths(_pairs(spark, d), cut(cat.edges(spark, d)), max_hops)
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    """(s, e, hops, steps, path) of the distinct pairs, up to three hops."""
+    found = graph.find_paths(_pairs(spark, d), cut(cat.edges(spark, d)))
     return found.withColumn("path", graph.path_key(F.col("steps")))
 
 
@@ -404,8 +404,8 @@ def find_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def path_node_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct entities and properties on the paths of up to two hops, with their paths."""
-    step = _found(spark, d, 2).select("path", F.explode("steps").alias("x"))
+    """Distinct entities and properties on the paths of up to three hops, with their paths."""
+    step = _found(spark, d).select("path", F.explode("steps").alias("x"))
     return step.groupBy(F.col("x.kind").alias("kind"), F.col("x.id").alias("id")).agg(F.count_distinct("path").alias("n_paths"))
 
 
@@ -457,29 +457,29 @@ def bfs_row_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def predicate_vocab(spark: SparkSession, d: str) -> DataFrame:
-    """Properties on the paths of up to two hops."""
-    return ranking.predicate_vocab(_found(spark, d, 2))
+    """Properties on the paths of up to three hops."""
+    return ranking.predicate_vocab(_found(spark, d))
 
 
 @query
 def path_score(spark: SparkSession, d: str) -> DataFrame:
-    """Score of each path of up to two hops."""
-    return _found(spark, d, 2).select("s", "e", "path", ranking.path_score(F.col("steps")).alias("score"))
+    """Score of each path of up to three hops."""
+    return _found(spark, d).select("s", "e", "path", ranking.path_score(F.col("steps")).alias("score"))
 
 
 def _question_paths(spark: SparkSession, d: str) -> DataFrame:
-    """(question_id, path, score, text) of questions with a sound vector, each path once."""
-    texts = ranking.label_paths(_found(spark, d, 2), cat.labels(spark, d))
+    """(question_id, path, steps, score) of questions with a sound vector, each path once."""
     pairs = _pairs(spark, d).select("question_id", "s", "e").distinct()
     known = cat.usable_vectors(spark, d, "questions").select(F.col("id").alias("question_id"))
-    rows = pairs.join(texts, ["s", "e"]).join(known, "question_id", "left_semi")
-    return rows.select("question_id", "path", ranking.path_score(F.col("steps")).alias("score"), "text").distinct()
+    rows = pairs.join(_found(spark, d), ["s", "e"]).join(known, "question_id", "left_semi")
+    return rows.select("question_id", "path", "steps", ranking.path_score(F.col("steps")).alias("score")).distinct()
 
 
 @query
 def path_rank_top2(spark: SparkSession, d: str) -> DataFrame:
     """The two best paths of each question, labels and scores joined."""
-    best = ranking.prune_paths(_question_paths(spark, d), "question_id", "score", ["path"])
+    best = cut(ranking.prune_paths(_question_paths(spark, d), "question_id", "score", ["path"]))
+    best = ranking.label_paths(best, cat.labels(spark, d))
     pack = F.sort_array(F.collect_list(F.struct("rank_no", "text", F.col("score").cast("string").alias("s"))))
     rows = best.groupBy("question_id").agg(pack.alias("p"))
     text = lambda c: F.array_join(F.transform("p", lambda x: x[c]), " | ")
@@ -496,8 +496,8 @@ def label_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def format_pattern_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled text of every pair's paths of up to two hops; pairs without one say so."""
-    texts = ranking.label_paths(_found(spark, d, 2), cat.labels(spark, d)).select("s", "e", "path", "text")
+    """Labelled text of every pair's paths of up to three hops; pairs without one say so."""
+    texts = ranking.label_paths(_found(spark, d), cat.labels(spark, d)).select("s", "e", "path", "text")
     pairs = _pairs(spark, d).select("s", "e").distinct()
     return pairs.join(texts, ["s", "e"], "left").select("s", "e", F.coalesce("text", F.lit(tx.NO_PATH)).alias("text"))
 
@@ -507,8 +507,8 @@ def format_pattern_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def run_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of a path run of up to two hops."""
-    found = _found(spark, d, 2)
+    """Totals of a path run of up to three hops."""
+    found = _found(spark, d)
     step = found.select("s", "e", "hops", "path", F.explode("steps").alias("x"))
     pairs = _pairs(spark, d).select("s", "e").distinct().agg(F.count("*").alias("pairs"))
     stats = step.agg(
