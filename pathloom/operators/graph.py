@@ -87,16 +87,17 @@ def paths_2hop(pairs: DataFrame, edges: DataFrame, limit: int = PATHS_PER_PAIR)
 def paths_3hop(pairs: DataFrame, edges: DataFrame, limit: int = PATHS_PER_PAIR) -> DataFrame:
     """``(s, e, p1, m1, p2, m2, p3)``: a chain from s to e, or one from e to s in either order of writing.
 
-    Out-edges of the start and in-edges of the end are joined to the pairs
-    first; the middle edge closes the chain on both of its ends.
+    The last two edges are joined once for each end, not for each pair; the
+    first edge of a pair meets them on both its inner node and the pair's end.
     """
     pairs = pairs.select("s", "e").distinct()
     both = pairs.unionByName(pairs.select(F.col("e").alias("s"), F.col("s").alias("e"))).distinct()
     inner = lambda m: (F.col(m) != F.col("s")) & (F.col(m) != F.col("e"))
     first = both.join(_out(edges, 1), F.col("h1") == F.col("s")).withColumnRenamed("t1", "m1").filter(inner("m1"))
-    second = first.join(_out(edges, 2), F.col("h2") == F.col("m1")).withColumnRenamed("t2", "m2").filter(inner("m2"))
-    third = second.join(_out(edges, 3), (F.col("h3") == F.col("m2")) & (F.col("t3") == F.col("e")))
-    chains = third.select("s", "e", "p1", "m1", "p2", "m2", "p3")
+    last = _out(edges, 3).join(both.select(F.col("e").alias("t3")).distinct(), "t3", "left_semi")
+    ending = _out(edges, 2).join(last, F.col("h3") == F.col("t2")).withColumnRenamed("t2", "m2")
+    third = first.join(ending, (F.col("h2") == F.col("m1")) & (F.col("t3") == F.col("e"))).filter(inner("m2"))
+    chains = cut(third.select("s", "e", "p1", "m1", "p2", "m2", "p3"))  # read three times
     forward = chains.join(pairs, ["s", "e"], "left_semi")
     turned = chains.select(F.col("e").alias("s"), F.col("s").alias("e"), "p1", "m1", "p2", "m2", "p3").join(pairs, ["s", "e"], "left_semi")
     mirrored = turned.select(

@@ -9,8 +9,9 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..session import table
 
-# Fixed value: a comma-written triple within a packed path.
-TRIPLE = r"\((Q\d+)\), [^()]*\((P\d+)\), [^()]*\((Q\d+)\)"
+# A comma-written triple and a hop within a packed path; the end of one may start the next.
+TRIPLE = r"\((Q\d+)\), [^()]*\((P\d+)\), [^()]*(?=\((Q\d+)\))"
+HOP = r"\((Q\d+)\) --\[[^()]*\] \((P\d+)\)--> [^()]*(?=\((Q\d+)\))"
 DIMS = 64
 
 #: Named inputs, as a data set registry.
@@ -35,12 +36,14 @@ def contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """``(head, predicate, tail)``: the distinct triples of all packed paths."""
+    """``(head, predicate, tail)``: the distinct triples of all packed paths, comma-written or as hops."""
     cells = table(spark, d, "question_sheet").select(F.col("wikidata_paths_llm").alias("c"))
     cells = cells.unionByName(table(spark, d, "context_variants").select(F.col("paths").alias("c")))
-    hit = cells.select(F.explode(F.regexp_extract_all("c", F.lit(TRIPLE), F.lit(0))).alias("m")).distinct()
-    part = [F.regexp_extract("m", TRIPLE, i) for i in (1, 2, 3)]
-    return hit.select(part[0].alias("head"), part[1].alias("predicate"), part[2].alias("tail")).distinct()
+    written = lambda pattern: F.arrays_zip(
+        *[F.regexp_extract_all("c", F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(("head", "predicate", "tail"), 1)]
+    )
+    hits = cells.filter("c is not null").select(F.explode(F.concat(written(TRIPLE), written(HOP))).alias("m"))
+    return hits.select("m.head", "m.predicate", "m.tail").distinct()
 
 
 def entity_labels(spark: SparkSession, d: str) -> DataFrame:
