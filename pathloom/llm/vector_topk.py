@@ -63,8 +63,9 @@ def _usable(dims: int):
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means from the first rows of ``sample``; a cell that loses all rows keeps its centroid."""
+    """Spherical k-means from the first distinct directions of ``sample``; cells without a row of it are left out."""
     x = _unit(sample).astype(np.float32)
+    x = x[np.sort(np.unique(np.round(x, 6) + np.float32(0), axis=0, return_index=True)[1])]
     c = x[:cells].copy()
     for _ in range(rounds):
         own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
@@ -72,7 +73,8 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray
         np.add.at(sums, own, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 0, sums / np.maximum(norm, 1e-9), c)
-    return c
+    own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    return c[np.unique(own)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +253,10 @@ def nearest(
     usable = rows.mapInArrow(_usable(dims), "id string, target boolean, vec binary")
     # two independent hashes stand for the vector from here on
     usable = written(usable.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")}))
-    n = usable.filter("target").count()
+    vectors_once = usable.filter("target").groupBy("h1", "h2").agg(F.first("vec").alias("vec"))
+    n = vectors_once.count()
     cells = max(1, min(MOST_CELLS, -(-n // cell_rows)))
-    picked = usable.filter("target").select("vec", F.xxhash64("id", F.lit(1)).alias("o")).orderBy("o", "vec").limit(SAMPLE_PER_CELL * cells)
+    picked = vectors_once.orderBy("h1", "h2").limit(SAMPLE_PER_CELL * cells)
     sample = [r["vec"] for r in picked.select("vec").collect()]
     out = "vector_id string, neighbour_id string, rank_no int"
     if not sample:
