@@ -279,9 +279,27 @@ def build_hierarchy(links: DataFrame, local_nodes: int = LOCAL_NODES, least_shar
     )
 
 
-def descendant_pairs(hierarchy: DataFrame) -> DataFrame:
-    """``(node_id, descendant_id)`` for every node outside cycles: the ancestors on each path, one row each."""
+def descendant_pairs(hierarchy: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``(node_id, descendant_id)``: every node with each distinct other node below it, one row each.
+
+    Ancestors in trees are those on the path; on and below cycles they follow
+    the ``(child, parent)`` ``links`` the hierarchy is of. Without ``links`` a
+    node with descendants on or below a cycle is an error.
+    """
     ids = F.split("node_path", "/")
-    return hierarchy.filter("depth > 0").select(
+    in_trees = hierarchy.filter("depth > 0").select(
         F.explode(F.slice(ids, 1, F.size(ids) - 1)).alias("node_id"), F.col("node_id").alias("descendant_id")
     )
+    if links is None:
+        if hierarchy.filter("depth < 0 and n_descendants > 0").limit(1).count():
+            raise ValueError("the hierarchy has cycles, their descendants need its links")
+        return in_trees
+    looped = hierarchy.filter("depth < 0").select(F.col("node_id").alias("child"))
+    pairs = cut(links.join(looped, "child", "left_semi").select(F.col("parent").alias("node_id"), F.col("child").alias("descendant_id")).distinct())
+    last, n = -1, pairs.count()
+    while n != last:  # each round doubles the reach
+        up, down = pairs.alias("up"), pairs.alias("down")
+        further = up.join(down, F.col("up.descendant_id") == F.col("down.node_id")).select("up.node_id", "down.descendant_id")
+        pairs = cut(pairs.unionByName(further).distinct())
+        last, n = n, pairs.count()
+    return in_trees.unionByName(pairs.filter("node_id <> descendant_id"))
