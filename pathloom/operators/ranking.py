@@ -87,12 +87,13 @@ def valid_triples(triples: DataFrame, strict: bool) -> DataFrame:
     return triples.filter(filled[0] & filled[1] & filled[2])
 
 
-def link_mentions(mentions: DataFrame, labels: DataFrame, key: str, mention: str = "mention", pos: str = "pos") -> DataFrame:
-    """``(key, entity_ids)``: each mention's smallest id with that label (case and outer blanks aside), unresolved ones dropped."""
+def link_mentions(mentions: DataFrame, labels: DataFrame, key: str | list[str], mention: str = "mention", pos: str = "pos") -> DataFrame:
+    """``(key, entity_ids)``, by one key column or several: each mention's smallest id with that label (case and outer blanks aside), unresolved ones dropped."""
     norm = lambda c: F.lower(F.trim(c))
     best = labels.filter("label is not null").groupBy(norm(F.col("label")).alias("m")).agg(F.min("id").alias("entity_id"))
     found = mentions.withColumn("m", norm(F.col(mention))).join(best, "m")
-    return joined(found.select(key, pos, F.col("entity_id").alias("entity_ids")), [key], [pos], "entity_ids", ", ")
+    keys = [key] if isinstance(key, str) else key
+    return joined(found.select(*keys, pos, F.col("entity_id").alias("entity_ids")), keys, [pos], "entity_ids", ", ")
 
 
 def link_top1(mentions: DataFrame, labels: DataFrame, mention: str = "mention") -> DataFrame:

@@ -105,10 +105,10 @@ def full_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    """(pair_id, pos, mention) of the triple contexts: their members, as a model would list them."""
-    cells = cat.contexts(spark, d).filter("variant = 'kg_triples' and paths is not null")
+    """(pair_id, variant, pos, mention) of all triple contexts: their members, as a model would list them."""
+    cells = cat.contexts(spark, d).filter(F.col("variant").isin(*TRIPLE_VARIANTS) & F.col("paths").isNotNull())
     plain = F.regexp_replace("paths", r"""[<>"'\[\]|;\r\n\t]+""", ",")
-    return cells.select("pair_id", F.posexplode(tx.parse_mentions(plain)).alias("pos", "mention"))
+    return cells.select("pair_id", "variant", F.posexplode(tx.parse_mentions(plain)).alias("pos", "mention"))
 
 
 @query
@@ -168,6 +168,7 @@ def generate_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 VARIANTS = ("entity_bfs", "entity_bfs_top1", "kg_triples", "kg_triples_top1", "kg_triples_top2", "llm_paths", "vector_bfs", "vector_bfs_top1", "vector_bfs_top2")
+TRIPLE_VARIANTS = tuple(v for v in VARIANTS if v.startswith("kg_triples"))
 
 
 def select_variant(contexts: DataFrame, variant: str) -> DataFrame:
@@ -561,7 +562,7 @@ def parse_mentions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def link_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Ids of the mentions of each triple context, in order."""
-    return ranking.link_mentions(_mentions(spark, d), cat.entity_labels(spark, d), "pair_id")
+    return ranking.link_mentions(_mentions(spark, d), cat.entity_labels(spark, d), ["pair_id", "variant"])
 
 
 @query
