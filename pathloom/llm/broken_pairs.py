@@ -300,7 +300,7 @@ class LanguageModel:
 
     @classmethod
     def grams(cls, word: str) -> list[str]:
-        padded = f" {word[:40]} "
+        padded = f" {word} "
         return [padded[i : i + n] for n in cls.ORDERS for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
 
     def scores(self, text: str) -> dict[str, float]:
@@ -369,11 +369,11 @@ def classify(question: str | None, answer: str | None, model: LanguageModel) ->
 
 
 def language_examples(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = EXAMPLES_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts, the same at every run: the smallest text hashes of each language."""
+    """A bounded sample of whole labelled texts, the same at every run: the smallest text hashes of each language."""
     code = F.lower(F.regexp_extract(F.col(lang_col), r"^\s*([A-Za-z]{2})(?:[-_].*)?\s*$", 1))
     order = Window.partitionBy("code").orderBy("h", "text")
     rows = (
-        labelled.select(F.substring(F.col(text_col), 1, 4000).alias("text"), code.alias("code"))
+        labelled.select(F.col(text_col).alias("text"), code.alias("code"))
         .filter("code <> '' and text is not null")
         .withColumn("h", F.xxhash64("text"))
         .withColumn("n", F.row_number().over(order))
