@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 # Common table expressions the queries share.
-_TRIPLE = r"\((Q\d+)\), [^()]*\((P\d+)\), [^()]*\((Q\d+)\)"
-_EDGES = f"""
+# A cell cut at its opening parentheses: a triple is three pieces in a row, comma-written or as a hop.
+_EDGES = r"""
     cells AS (SELECT wikidata_paths_llm AS c FROM question_sheet UNION SELECT paths FROM context_variants),
-    hits AS (SELECT DISTINCT unnest(regexp_extract_all(c, '{_TRIPLE}')) AS m FROM cells WHERE c IS NOT NULL),
-    edges AS (SELECT DISTINCT regexp_extract(m, '{_TRIPLE}', 1) AS head, regexp_extract(m, '{_TRIPLE}', 2) AS predicate,
-                     regexp_extract(m, '{_TRIPLE}', 3) AS tail FROM hits)"""
+    pieces AS (SELECT string_split(c, '(') AS t FROM cells WHERE c IS NOT NULL),
+    spots AS (SELECT t[i] AS a, t[i + 1] AS b, t[i + 2] AS c FROM (SELECT t, unnest(range(2, len(t) - 1)) AS i FROM pieces)),
+    edges AS (SELECT DISTINCT regexp_extract(a, '^Q\d+') AS head, regexp_extract(b, '^P\d+') AS predicate, regexp_extract(c, '^Q\d+') AS tail
+        FROM spots WHERE regexp_matches(c, '^Q\d+\)')
+          AND (regexp_matches(a, '^Q\d+\), [^)]*$') AND regexp_matches(b, '^P\d+\), [^)]*$')
+               OR regexp_matches(a, '^Q\d+\) --\[[^)]*\] $') AND regexp_matches(b, '^P\d+\)--> [^)]*$')))"""
 _CAPPED = """
     first5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY head, predicate ORDER BY tail) AS c FROM edges) WHERE c <= 5),
     capped AS (SELECT head, predicate, tail, edge_ord FROM (
@@ -59,9 +62,10 @@ _HOP3 = """
     hop3 AS (SELECT s, e, p1, m1, p2, m2, p3 FROM (
         SELECT *, row_number() OVER (PARTITION BY s, e ORDER BY p1, m1, p2, m2, p3) AS n FROM (
             SELECT * FROM forward UNION SELECT * FROM backward UNION SELECT s, e, p3, m2, p2, m1, p1 FROM backward)) WHERE n <= 100)"""
-_FOUND2 = _HOP1 + "," + _HOP2 + """,
+_FOUND = _HOP1 + "," + _HOP2 + "," + _HOP3 + """,
     found AS (SELECT s, e, 1 AS hops, s || '|' || p1 || '|' || e AS path FROM hop1
-              UNION ALL SELECT s, e, 2, s || '|' || p1 || '|' || m1 || '|' || p2 || '|' || e FROM hop2)"""
+              UNION ALL SELECT s, e, 2, s || '|' || p1 || '|' || m1 || '|' || p2 || '|' || e FROM hop2
+              UNION ALL SELECT s, e, 3, s || '|' || p1 || '|' || m1 || '|' || p2 || '|' || m2 || '|' || p3 || '|' || e FROM hop3)"""
 _TEXTS = """
     step AS (SELECT s, e, path, ids, unnest(range(1, len(ids) + 1)) AS i FROM (SELECT s, e, path, string_split(path, '|') AS ids FROM found)),
     texts AS (SELECT s, e, path, string_agg(CASE WHEN i % 2 = 1 THEN coalesce(label, ids[i]) || ' (' || ids[i] || ')'
@@ -133,11 +137,11 @@ _RANKED = """
     ranked AS (SELECT * FROM (
         SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS INTEGER) AS rank_no FROM best) WHERE rank_no <= 10)"""
 _MENTIONS = r"""
-    cells AS (SELECT DISTINCT pair_id, variant, paths FROM context_variants WHERE variant = 'kg_triples' AND paths IS NOT NULL),
-    listed AS (SELECT pair_id, list_filter(list_transform(string_split(regexp_replace(paths, '[<>"''\[\]|;\r\n\t]+', ',', 'g'), ','), lambda x: trim(x, e' \t\r\n')),
+    cells AS (SELECT DISTINCT pair_id, variant, paths FROM context_variants WHERE variant IN ('kg_triples', 'kg_triples_top1', 'kg_triples_top2') AND paths IS NOT NULL),
+    listed AS (SELECT pair_id, variant, list_filter(list_transform(string_split(regexp_replace(paths, '[<>"''\[\]|;\r\n\t]+', ',', 'g'), ','), lambda x: trim(x, e' \t\r\n')),
                    lambda x: lower(x) NOT IN ('', 'null')) AS l FROM cells),
-    mentions AS (SELECT pair_id, l, unnest(range(0, len(l))) AS pos FROM listed),
-    mention AS (SELECT pair_id, CAST(pos AS INTEGER) AS pos, l[pos + 1] AS mention FROM mentions)"""
+    mentions AS (SELECT pair_id, variant, l, unnest(range(0, len(l))) AS pos FROM listed),
+    mention AS (SELECT pair_id, variant, CAST(pos AS INTEGER) AS pos, l[pos + 1] AS mention FROM mentions)"""
 _LINKS = "links AS (SELECT lower(trim(label)) AS m, min(id) AS entity_id FROM entity_labels GROUP BY 1)"
 _SCORES = r"""
     rows AS (SELECT DISTINCT pair_id, label, wikidata_paths_llm AS a, src_attr, tgt_attr FROM question_sheet),
@@ -277,10 +281,8 @@ ORACLE_SQL: dict[str, str] = {
     "paths_1hop": f"WITH {_EDGES}, {_pairs(10)}, {_HOP1} SELECT * FROM hop1",
     "paths_2hop": f"WITH {_EDGES}, {_pairs(10)}, {_HOP2} SELECT * FROM hop2",
     "paths_3hop": f"WITH {_EDGES}, {_pairs(10)}, {_HOP3} SELECT * FROM hop3",
-    "find_paths": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND2}, {_HOP3}
-        SELECT s, e, hops, path FROM found UNION ALL
-        SELECT s, e, 3, s || '|' || p1 || '|' || m1 || '|' || p2 || '|' || m2 || '|' || p3 || '|' || e FROM hop3""",
-    "path_node_stats": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND2},
+    "find_paths": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND} SELECT s, e, hops, path FROM found""",
+    "path_node_stats": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND},
         step AS (SELECT path, ids, unnest(range(1, len(ids) + 1)) AS i FROM (SELECT DISTINCT path, string_split(path, '|') AS ids FROM found))
         SELECT CASE WHEN i % 2 = 1 THEN 'entity' ELSE 'predicate' END AS kind, ids[i] AS id, count(DISTINCT path) AS n_paths FROM step GROUP BY 1, 2""",
     "bfs_pair_path": f"""WITH {_EDGES}, {_CAPPED}, {_pairs(3)}, {_BFS}
@@ -304,10 +306,10 @@ ORACLE_SQL: dict[str, str] = {
     "format_bfs_paths": f"WITH {_EDGES}, {_CAPPED}, {_pairs(3)}, {_LABELS}, {_BFS}, {_BFS_TEXTS} SELECT s, e, text FROM bfs_texts",
     "bfs_row_context": f"""WITH {_EDGES}, {_CAPPED}, {_pairs(3)}, {_LABELS}, {_BFS}, {_BFS_TEXTS}
         SELECT question_id, string_agg(text, ' | ' ORDER BY pair_ord, text) AS context FROM pairs JOIN bfs_texts USING (s, e) GROUP BY question_id""",
-    "predicate_vocab": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND2}
-        SELECT DISTINCT p AS predicate FROM (SELECT unnest([string_split(path, '|')[2], string_split(path, '|')[4]]) AS p FROM found) WHERE p IS NOT NULL""",
-    "path_score": f"WITH {_EDGES}, {_pairs(10)}, {_FOUND2} SELECT s, e, path, hops AS score FROM found",
-    "path_rank_top2": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND2}, {_LABELS}, {_USABLE}, {_TEXTS},
+    "predicate_vocab": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND}
+        SELECT DISTINCT p AS predicate FROM (SELECT unnest([string_split(path, '|')[2], string_split(path, '|')[4], string_split(path, '|')[6]]) AS p FROM found) WHERE p IS NOT NULL""",
+    "path_score": f"WITH {_EDGES}, {_pairs(10)}, {_FOUND} SELECT s, e, path, hops AS score FROM found",
+    "path_rank_top2": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND}, {_LABELS}, {_USABLE}, {_TEXTS},
         q AS (SELECT DISTINCT question_id, t.path, hops AS score, text FROM (SELECT DISTINCT question_id, s, e FROM pairs) p
               JOIN texts t USING (s, e) JOIN found f USING (s, e, path)
               WHERE question_id IN (SELECT id FROM usable WHERE collection = 'questions')),
@@ -316,9 +318,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM r WHERE n <= 2 GROUP BY question_id""",
     "label_lookup": f"""WITH {_EDGES}, {_LABELS}, i AS (SELECT DISTINCT unnest([head, predicate, tail]) AS id FROM edges)
         SELECT i.id, label FROM i LEFT JOIN labels l ON l.id = i.id""",
-    "format_pattern_paths": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND2}, {_LABELS}, {_TEXTS}
+    "format_pattern_paths": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND}, {_LABELS}, {_TEXTS}
         SELECT s, e, coalesce(text, 'No path found') AS text FROM pair LEFT JOIN texts USING (s, e)""",
-    "run_stats": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND2},
+    "run_stats": f"""WITH {_EDGES}, {_pairs(10)}, {_FOUND},
         step AS (SELECT ids, unnest(range(1, len(ids) + 1)) AS i FROM (SELECT string_split(path, '|') AS ids FROM found))
         SELECT (SELECT count(*) FROM pair) AS pairs, (SELECT count(*) FROM found) AS paths,
                count(DISTINCT CASE WHEN i % 2 = 1 THEN ids[i] END) AS entities, count(DISTINCT CASE WHEN i % 2 = 0 THEN ids[i] END) AS relations FROM step""",
@@ -339,9 +341,9 @@ ORACLE_SQL: dict[str, str] = {
     "plain_prompt": """
         SELECT DISTINCT pair_id, 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Answer with 1 or 0.' AS prompt FROM question_sheet
     """,
-    "parse_mentions": f"WITH {_MENTIONS} SELECT pair_id, pos, mention FROM mention",
+    "parse_mentions": f"WITH {_MENTIONS} SELECT pair_id, variant, pos, mention FROM mention",
     "link_mentions": f"""WITH {_MENTIONS}, {_ENTITY_LABELS}, {_LINKS}
-        SELECT pair_id, string_agg(entity_id, ', ' ORDER BY pos, entity_id) AS entity_ids FROM mention JOIN links ON m = lower(trim(mention)) GROUP BY pair_id""",
+        SELECT pair_id, variant, string_agg(entity_id, ', ' ORDER BY pos, entity_id) AS entity_ids FROM mention JOIN links ON m = lower(trim(mention)) GROUP BY pair_id, variant""",
     "parse_llm_paths": """
         WITH c AS (SELECT DISTINCT pair_id, wikidata_paths_llm AS a FROM question_sheet WHERE wikidata_paths_llm IS NOT NULL),
         l AS (SELECT pair_id, list_filter(list_transform(string_split(a, '|'), lambda x: trim(x, e' \\t\\r\\n')), lambda x: lower(x) NOT IN ('', 'null')) AS l FROM c),
