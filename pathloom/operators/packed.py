@@ -1,52 +1,100 @@
 """Several values packed in one field.
 
-A cell is read into slots, one per value. Quoted spans are atomic. Elsewhere a
-value ends where its grammar is complete (an entity with its id, or a path of
-complete triples) and starts behind a delimiter; where a label may itself
-contain delimiters, several starts are possible and the slot keeps all of them
-as a lattice. Expectation-maximisation over the whole column learns how often
-each leading value occurs, uncontested slots giving certain counts; the Viterbi
-choice of a contested slot is the start whose value, together with the pieces
-it would leave over, is likeliest.
+A cell is a lattice over all of its delimiters. Between two of them lies a
+piece; at each delimiter the value that is being read either ends, goes on
+with its next member, or goes on within the label of the same member.
+Expectation-maximisation over the whole column learns how often each of these
+happens (by the state of the value, the delimiter and the kind of the next
+piece; ids are such kinds, not a grammar that must hold) and how frequent each
+member of values is. The most probable way through the lattice of a cell
+(Viterbi) is its segmentation. Quoted spans are atomic: no value ends inside
+one. What the operator keeps of the values read is up to the caller.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast, storable, written
-
-#: Weight of a piece that a choice would leave over, and of a value never seen for certain.
-LEFT_OVER, UNSEEN = 0.1, 0.05
-EM_ROUNDS = 4
-CONTESTED_BROADCAST_BYTES, CONTESTED_ROW_BYTES = 16 << 20, 16
-
-_ENTITY = re.compile(r"\(Q\d+\)|(?<![\w(])Q\d+(?![\w)])")
-_PATH = re.compile(r"<[^<>\r\n]*>|\(([QP])\d+\)")
-_BARE = re.compile(r"\s*Q\d+(?:\s*[,;|/\t\n]\s*Q\d+)*\s*")
-_ID = re.compile(r"Q\d+")
-_IN_TRIPLE = re.compile(r"\s*(?:,|--+(?!>)|--+>)")
-_ARROW = re.compile(r"\s*(?:-+>|=+>|→)")
-_HOP = re.compile(r"\s*--+(?!>)")
-_BROKEN_ARROW = re.compile(r"\s*[-=→]")
-_MARK = re.compile(r"(?:[•*–-]\s+|\(\d{1,4}\)\s*|\d{1,4}[.)]\s+)")
-_HARD = re.compile(r"[\r\n\t]")
-_CUT = re.compile(r"\s*(?:\|+|;+|[\r\n\t])")
+from ..session import storable
+
+EM_ROUNDS = 2
+#: Member frequencies are kept in ``HASHES`` rows of so many hashed counters, whatever the size of the column: a member
+#: reads as its smallest counter less what a counter holds on average, so one rarer than 1 in ``BUCKETS`` reads as unseen.
+BUCKETS, HASHES = 1 << 18, 4
+#: Weight of a member never seen, and how much rarer than their members single words are taken to be, to at most so many words.
+UNSEEN, WORD, MOST_WORDS = 0.2, 50.0, 4
+#: Pieces a member with a frequency of its own may have. Longer labels are read too, with the weight of unseen ones.
+LONGEST = 8
+# Words and signs that stand for nothing.
+PLACEHOLDERS = frozenset(("", "nan", "none", "null", "n/a", "na", "no path found", "[]", "-"))
+#: Segmentations remembered by a worker for lattices that hold no choice of labels.
+REMEMBERED = 50_000
+
+# Delimiter classes: line, tab, bar, semicolon, slash, comma, none (a blank or nothing), chain (an arrow or hop behind an id).
+DELIMITERS = "nt|;/, >"
+# Kinds of pieces: ends with an entity or a property, bare entity, bracketed triple, text without an id.
+KINDS = "EPBTX"
+#: What may follow in each state: go on within the label (L), to the next member (M), or end the value (V).
+#: States: x label at the start, o property at the start, e head, p property, t complete, b bare id, g bracketed triple;
+#: yp and yt labels of a property and a tail being read; E, Q, T, YH, YP, YT the like behind a complete triple.
+MOVES: dict[str, dict[str, dict[str, str]]] = {
+    "x": {"L": {"X": "x", "E": "e", "P": "o"}},
+    "o": {}, "b": {}, "g": {},
+    "e": {"M": {"P": "p", "X": "yp", "E": "e"}},
+    "p": {"M": {"E": "t", "X": "yt"}},
+    "yp": {"L": {"X": "yp", "P": "p"}},
+    "yt": {"L": {"X": "yt", "E": "t"}},
+    "t": {"M": {"E": "E", "P": "Q", "X": "YH"}},
+    "E": {"M": {"P": "Q", "X": "YP"}},
+    "Q": {"M": {"E": "t", "X": "YT"}},
+    "YH": {"L": {"X": "YH", "E": "E", "P": "Q"}},
+    "YP": {"L": {"X": "YP", "P": "Q"}},
+    "YT": {"L": {"X": "YT", "E": "t"}},
+}
+FIRST = {"E": "e", "P": "o", "B": "b", "T": "g", "X": "x"}
+LABELS = frozenset(("x", "yp", "yt", "YH", "YP", "YT"))
+COMPLETE = frozenset(("t", "g", "E", "Q", "YH", "YP", "YT"))
+
+_PRIOR_ENDS = {"x": 0.5, "o": 0.9, "e": 0.6, "p": 0.05, "t": 0.7, "E": 0.05, "Q": 0.05}
+_PRIOR_DELIMITERS = {  # per state and move, in the order of DELIMITERS
+    "V": (0.25, 0.1, 0.2, 0.2, 0.05, 0.15, 0.05, 0.0001),
+    "L": (0.0005, 0.0005, 0.002, 0.002, 0.01, 0.05, 0.9, 0.0001),
+    "M": (0.0005, 0.0005, 0.0005, 0.0005, 0.0005, 0.6, 0.001, 0.4),
+    "tM": (1e-5, 1e-5, 1e-5, 1e-5, 1e-5, 1e-5, 1e-5, 1.0),
+}
+_PRIOR_KINDS = {
+    "V": dict(zip(KINDS, (0.4, 0.05, 0.2, 0.15, 0.2))),
+    "L": {"X": 0.5, "E": 0.4, "P": 0.4},
+    "M": {"P": 0.9, "E": 0.9, "X": 0.1},
+    "eM": {"P": 0.9, "X": 0.1, "E": 0.01},
+}
+#: Weight of the prior against counts, in moves of each state.
+PRIOR_WEIGHT = 50.0
+
+_TOKEN = re.compile(
+    r"\(([QP])\d+\)(?:(\s*(?:[-=]+>|→|--+\[?|[-=]+(?=\s*(?:[|;\r\n\t]|$))))|[ ]?([\r\n\t|;,/]))?"
+    r"|([\r\n\t|;,/])|(<[^<>\r\n]*>)|(?<![\w(])Q\d+(?![\w)])"
+)
+_BLANKS = " \t\r\n|;,/"
+_TAIL = _BLANKS + "]}"
+_MARK = re.compile(r"(?:[•*–-]\s+|\(\d+\)\s*|\d+[.)]\s+)")
+_MARKS = "•*–-(0123456789"
 _DELIMITER = re.compile(r"[,;|\r\n\t/]")
-_SOFT = re.compile(r"[|;,/]+")
-_EDGES = " \t\r\n|;,/"
-_TAIL = _EDGES + "]}"
 _LISTED = re.compile(r""""((?:[^"\\]|\\.)*)"(?=\s*(?:[,;|\]\r\n\t/]|$))|'((?:[^'\\]|\\.)*)'(?=\s*(?:[,;|\]\r\n\t/]|$))""", re.S)
 _QUOTED = re.compile(r'"((?:[^"]|"")*)"(?=\s*(?:[,;|\r\n\t/]|$))', re.S)
 _OPENS = re.compile(r"(?:^|[\[,;|\r\n\t/])\s*[\"']")
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.S)
 _NAMED = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+_RANK = {c: i for i, c in enumerate(" ,/;|tn")}
+_CLASS = {"\r": "n", "\n": "n", "\t": "t"}
 
 
 def _unescape(text: str) -> str:
@@ -55,106 +103,11 @@ def _unescape(text: str) -> str:
     return storable(_ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _NAMED.get(m[1], m[1]), text))
 
 
-def _starts(text: str, low: int, first: int) -> list[int]:
-    """Possible starts of a value whose first id begins at ``first``; text from ``low`` on is free. Longest first."""
-    hard = low
-    for m in _HARD.finditer(text, low, first):
-        hard = m.end()
-    at = hard
-    while at < first and text[at] in _EDGES:
-        at += 1
-    mark = _MARK.match(text, at, first)
-    if mark:
-        at = mark.end()
-    found = [at]
-    for m in _SOFT.finditer(text, at, first):
-        nxt = m.end()
-        while nxt < first and text[nxt] in _EDGES:
-            nxt += 1
-        if nxt < first and nxt != found[-1]:
-            found.append(nxt)
-    return found
-
-
-def _slot(text: str, starts: list[int], head_end: int, end: int) -> list[tuple[str, str]]:
-    """(value, its leading member) for each start."""
-    return [(text[s:end].rstrip(), text[s:head_end]) for s in starts]
-
-
-def entity_slots(text: str) -> list[list[tuple[str, str]]]:
-    """One slot per entity id in unquoted text."""
-    out, low = [], 0
-    for m in _ENTITY.finditer(text):
-        starts = _starts(text, low, m.start()) if text[m.start()] == "(" else [m.start()]
-        out.append(_slot(text, starts, m.end(), m.end()))
-        low = m.end()
-    return out
-
-
-def path_slots(text: str) -> list[list[tuple[str, str]]]:
-    """One slot per path with at least one complete triple, and per triple in angle brackets, in unquoted text."""
-    out: list[list[tuple[str, str]]] = []
-    low = 0  # free text starts here
-    starts: list[int] | None = None  # of the path being read
-    head_end = complete = 0  # end of its first member, and of its last complete triple
-    want = "Q"
-    last = 0  # end of the last member read
-
-    def close(until: int) -> int:
-        """End the current path; broken text behind a complete triple belongs to it as far as it goes on like a path."""
-        nonlocal starts
-        end = last
-        if starts is not None and complete:
-            end = complete
-            if last > complete or _BROKEN_ARROW.match(text, complete, until):
-                cut = _CUT.search(text, max(last, complete), until)
-                end = cut.start() if cut else until
-            out.append(_slot(text, starts, head_end, len(text[:end].rstrip(_TAIL if end == len(text) else _EDGES))))
-        starts = None
-        return end
-
-    for m in _PATH.finditer(text):
-        kind = m[1]
-        if kind is None:
-            low = max(low, close(m.start()))
-            if m[0].count(",") >= 2:
-                out.append([(m[0], m[0])])
-            low = last = m.end()
-            complete = 0
-            continue
-        if starts is not None:
-            if want == "Q?":  # behind a complete triple
-                if kind == "Q" and _ARROW.match(text, last):
-                    want = "P"
-                    last = m.end()
-                    continue
-                if kind == "P" and _HOP.match(text, last):
-                    want = "Q"
-                    last = m.end()
-                    continue
-            elif kind == want and _IN_TRIPLE.match(text, last):
-                last = m.end()
-                if kind == "P":
-                    want = "Q"
-                else:
-                    complete, want = last, "Q?"
-                continue
-            low = max(low, close(m.start()))
-        if kind == "Q":
-            starts = _starts(text, low, m.start())
-            head_end = low = last = m.end()
-            complete, want = 0, "P"
-        else:
-            low = last = m.end()
-    close(len(text))
-    return out
-
-
-def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
     """Quoted spans (unescaped, True) and the text between them (False)."""
     bare = text.lstrip()
     listed = bare[:1] in "[{" and bare[:1] != ""
-    if not _OPENS.search(text):
+    if '"' not in text and "'" not in text or not _OPENS.search(text):
         yield (bare[1:] if listed else text), False
         return
     at = text.find(bare[0]) if listed else 0
@@ -183,108 +136,437 @@ def _pieces(text: str) -> Iterator[tuple[str, bool]]:
         yield text[at:], False
 
 
-def split_cell(text: str | None, paths: bool) -> list[list[tuple[str, str]]]:
-    """Slots of one cell in order; each holds its possible (value, leading member) pairs, longest value first."""
-    if not text:
-        return []
-    if not paths and _BARE.fullmatch(text):
-        return [[(i, i)] for i in _ID.findall(text)]
-    read = path_slots if paths else entity_slots
-    if '"' not in text and "'" not in text:
-        bare = text.lstrip()
-        return read(bare[1:] if bare[:1] in ("[", "{") else text)
-    out = []
-    for piece, quoted in _pieces(text):
-        slots = read(piece)
-        if quoted and slots:
-            whole = piece.strip()
-            out.append([(whole, whole)])
-        else:
-            out += slots
+def pieces(text: str) -> tuple[str, str, list[int], list[int]]:
+    """Kinds of the pieces of a stretch, the delimiter class before each one, and where they start and end.
+
+    A piece ends with its id, or before a delimiter. An arrow with nothing
+    behind it is followed by an empty piece, so that the break is seen.
+    """
+    text = text.rstrip(_TAIL)
+    kinds, before, starts, ends = [], [], [], []
+    between, at = " ", 0  # the delimiter class so far, and where the text behind it starts
+    for m in _TOKEN.finditer(text):
+        start, end = m.span()
+        chars = text[at:start]
+        body = chars.lstrip(_BLANKS)
+        entity, chain, after, delimiter, angle = m.groups()
+        if entity:
+            kinds.append("E" if entity == "Q" else "P")
+            before.append(between)
+            starts.append(start - len(body))
+            if chain:
+                between = ">"
+                ends.append(end - len(chain))
+            elif after:
+                between = _CLASS.get(after, after)
+                ends.append(end - len(m[0]) + m[0].index(")") + 1)
+            else:
+                between = " "
+                ends.append(end)
+        elif body or (delimiter and between == ">"):
+            kinds.append("X")
+            before.append(between)
+            starts.append(start - len(body) if body else at)
+            ends.append(starts[-1] + len(body.rstrip()))
+            between = " "
+        if delimiter:
+            c = _CLASS.get(delimiter, delimiter)
+            if _RANK[c] > _RANK[between]:
+                between = c
+        elif not entity:
+            kinds.append("B" if not angle else "T" if angle.count(",") >= 2 else "X")
+            before.append(between)
+            starts.append(start)
+            ends.append(end)
+            between = " "
+        at = end
+    body = text[at:].lstrip(_BLANKS)
+    if body or between == ">":
+        kinds.append("X")
+        before.append(between)
+        starts.append(len(text) - len(body) if body else at)
+        ends.append(len(text) if body else at)
+    return "".join(kinds), "".join(before), starts, ends
+
+
+#: Every counted move: state, move, delimiter class and kind of the next piece; an end of the text has neither.
+COUNTED = [(s, m, d, k) for s in MOVES for m in ("V", *MOVES[s]) for d in DELIMITERS for k in KINDS if m == "V" or k in MOVES[s][m]]
+COUNTED += [(s, "V", "", "") for s in MOVES]
+_COUNTED = {c: i for i, c in enumerate(COUNTED)}
+#: What a value can be, as counted to see what a field holds: text, with an id, with a complete triple.
+SORTS = ("any", "entity", "path")
+
+
+def buckets(member: str) -> tuple[int, ...]:
+    """A member's counter in each row of counters."""
+    digest = xxhash.xxh3_128_intdigest(member)
+    return tuple((digest >> (32 * h)) % BUCKETS for h in range(HASHES))
+
+
+class Model:
+    """Probabilities of moves, delimiters and kinds, and frequencies of members, from (expected) counts of one field."""
+
+    def __init__(self, counts: np.ndarray | None = None, members: np.ndarray | None = None, sorts: np.ndarray | None = None):
+        self.counts = np.zeros(len(COUNTED)) if counts is None else counts
+        self.members, self.sorts = members, sorts
+        self.total = float(members[0].sum()) if members is not None else 0.0
+        self.remembered: dict = {}
+        self.cut: dict = {}
+        self.ends: dict[str, float] = {}
+        self._arcs: dict = {}
+        go, stop, shares = Counter(), Counter(), Counter()
+        for (s, m, d, k), n in zip(COUNTED, self.counts.tolist()):
+            (stop if m == "V" else go)[s] += n
+            if d:
+                own = "V" if m == "V" else s + m  # ends of values share their counts over all states
+                shares[own] += n
+                shares[own, "d", d] += n
+                shares[own, "k", k] += n
+        self._shares = shares
+        for s, moves in MOVES.items():
+            prior = _PRIOR_ENDS.get(s, 0.1 if s in LABELS else 1.0)
+            self.ends[s] = (stop[s] + PRIOR_WEIGHT * prior) / (stop[s] + go[s] + PRIOR_WEIGHT) if moves else 1.0
+
+    def __reduce__(self):
+        return Model, (self.counts, self.members, self.sorts)
+
+    def arcs(self, state: str, delimiter: str, kind: str) -> list[tuple[str, str, float]]:
+        """(move, next state, probability) of all moves from ``state`` over ``delimiter`` to a piece of ``kind``."""
+        known = self._arcs.get((state, delimiter, kind))
+        if known is None:
+            end = self.ends[state]
+            known = [("V", FIRST[kind], end * self._share(state, "V", delimiter, kind))]
+            known += [(m, to[kind], (1 - end) * self._share(state, m, delimiter, kind)) for m, to in MOVES[state].items() if kind in to]
+            self._arcs[state, delimiter, kind] = known
+        return known
+
+    def _share(self, state: str, move: str, delimiter: str, kind: str) -> float:
+        own = "V" if move == "V" else state + move
+        d0 = _PRIOR_DELIMITERS[own if own in _PRIOR_DELIMITERS else move][DELIMITERS.index(delimiter)]
+        k0 = _PRIOR_KINDS[own if own in _PRIOR_KINDS else move].get(kind, 0.01)
+        n, w = self._shares[own], PRIOR_WEIGHT
+        return (self._shares[own, "d", delimiter] + w * d0) / (n + w) * (self._shares[own, "k", kind] + w * k0) / (n + w)
+
+    def weight(self, member: str) -> float:
+        """How much likelier a member's frequency is than its words by chance."""
+        if not self.total:
+            return UNSEEN
+        n = min(self.members[h, b] for h, b in enumerate(buckets(member)))
+        n = max(0.0, (n - 1.0) / self.total - 1 / BUCKETS)  # what occurs once is no evidence for itself
+        return UNSEEN + n * WORD ** min(len(member.split()), MOST_WORDS)
+
+    def holds(self) -> str:
+        """What the field holds: paths or entities if at least half of its values are such, else anything."""
+        if self.sorts is None or not self.sorts[0]:
+            return "any"
+        return "path" if 2 * self.sorts[2] >= self.sorts[0] else "entity" if 2 * self.sorts[1] >= self.sorts[0] else "any"
+
+
+class Lattice:
+    """All ways through the pieces of one stretch.
+
+    ``columns[i]`` are the hypotheses (state, first piece of the member being
+    read) behind piece i; ``arcs[i]`` lead there from ``columns[i - 1]`` as
+    (from, to, probability, (state, move), members finished by it).
+    """
+
+    def __init__(self, kinds: str, before: str, model: Model, atomic: bool, name):
+        def member(first: int, last: int) -> tuple[tuple, float]:
+            text = name(first, last) if first >= 0 else None
+            return ((text,), model.weight(text)) if text else ((), UNSEEN)
+
+        self.kinds, self.before = kinds, before
+        self.names0, self.weight0 = member(0, 0) if kinds[0] in "EP" else ((), 1.0)
+        here = [(FIRST[kinds[0]], 0)]
+        self.columns, self.arcs = [here], []
+        for i in range(1, len(kinds)):
+            kind, delimiter = kinds[i], before[i]
+            onward: dict[tuple[str, int], int] = {}
+            arcs = []
+            for n, (state, first) in enumerate(here):
+                for move, state_2, p in model.arcs(state, delimiter, kind):
+                    names: tuple = ()
+                    start = i
+                    if move == "L":
+                        start = first if i - first < LONGEST else -1
+                    elif move == "V" and state in LABELS:
+                        names, w = member(first, i - 1)
+                        p *= w
+                    if kind in "EP":
+                        own, w = member(start, i)
+                        names, p = names + own, p * w
+                    to = onward.setdefault((state_2, start if state_2 in LABELS else i), len(onward))
+                    arcs.append((n, to, p, (state, move), names))
+            if atomic and any(a[3][1] != "V" for a in arcs):  # nothing ends inside, as long as anything else is possible
+                arcs = [a for a in arcs if a[3][1] != "V"]
+            self.arcs.append(arcs)
+            here = list(onward)
+            self.columns.append(here)
+        ends = [member(first, len(kinds) - 1) if state in LABELS else ((), 1.0) for state, first in here]
+        self.ends = [model.ends[state] * w for (state, _), (_, w) in zip(here, ends)]
+        self.end_names = [names for names, _ in ends]
+
+    def best(self) -> list[tuple[str, str]]:
+        """(state, move into it) of every piece on the most probable way."""
+        score, back = [1.0], []
+        for arcs, column in zip(self.arcs, self.columns[1:]):
+            top, origin = [0.0] * len(column), [None] * len(column)
+            for arc in arcs:
+                p = score[arc[0]] * arc[2]
+                if p > top[arc[1]]:
+                    top[arc[1]], origin[arc[1]] = p, arc
+            scale = max(top) or 1.0
+            score = [p / scale for p in top]
+            back.append(origin)
+        at = max(range(len(score)), key=lambda n: score[n] * self.ends[n])
+        way = []
+        for column, origin in zip(self.columns[:0:-1], back[::-1]):
+            arc = origin[at]
+            way.append((column[at][0], arc[3][1]))
+            at = arc[0]
+        return [(self.columns[0][0][0], "V"), *way[::-1]]
+
+    def expected(self) -> tuple[dict[int, float], dict[str, float]]:
+        """Expected counts of moves and of members over all ways, each by its probability (forward and backward)."""
+        forward = [[1.0]]
+        for arcs, column in zip(self.arcs, self.columns[1:]):
+            sums = [0.0] * len(column)
+            for a in arcs:
+                sums[a[1]] += forward[-1][a[0]] * a[2]
+            scale = sum(sums) or 1.0
+            forward.append([p / scale for p in sums])
+        moves: dict[int, float] = Counter()
+        members: dict[str, float] = Counter(self.names0)
+        whole = sum(f * e for f, e in zip(forward[-1], self.ends)) or 1.0
+        later = [e / whole for e in self.ends]
+        for (state, _), f, e, names in zip(self.columns[-1], forward[-1], later, self.end_names):
+            moves[_COUNTED[state, "V", "", ""]] += f * e
+            for name in names:
+                members[name] += f * e
+        for i in range(len(self.arcs) - 1, -1, -1):
+            kind, delimiter = self.kinds[i + 1], self.before[i + 1]
+            mass = [0.0] * len(self.columns[i])
+            through = [(a, forward[i][a[0]] * a[2] * later[a[1]]) for a in self.arcs[i]]
+            total = sum(g for _, g in through) or 1.0
+            for a, g in through:
+                g /= total
+                moves[_COUNTED[a[3][0], a[3][1], delimiter, kind]] += g
+                for name in a[4]:
+                    members[name] += g
+                mass[a[0]] += a[2] * later[a[1]]
+            scale = max(mass) or 1.0
+            later = [m / scale for m in mass]
+        return moves, members
+
+
+def _marks(text: str, starts: list[int], ends: list[int]) -> list[int]:
+    """Where each piece starts behind its list mark."""
+    out = starts
+    for i, s in enumerate(starts):
+        if text[s : s + 1] in _MARKS and (m := _MARK.match(text, s, ends[i])):
+            if out is starts:
+                out = starts.copy()
+            out[i] = m.end()
     return out
 
 
-def _read_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        row, field_no, pos, offsets, items, heads = [], [], [], [0], [], []
-        n_fields = batch.num_columns - 2
-        names = [batch.schema.field(2 + k).name for k in range(n_fields)]
-        for k, name in enumerate(names):
-            paths = name != "wikidata_entities"
-            for i, text in enumerate(batch.column(2 + k).to_pylist()):
-                for p, slot in enumerate(split_cell(text, paths), 1):
-                    row.append(i)
-                    field_no.append(k)
-                    pos.append(p)
-                    for value, head in slot:
-                        items.append(value)
-                        heads.append(digest(head) >> 1)
-                    offsets.append(len(items))
-        at = pa.array(row, pa.int64())
-        ends = pa.array(offsets, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(at),
-                pa.array(names, pa.string()).take(pa.array(field_no, pa.int64())),
-                batch.column(1).take(at),
-                pa.array(pos, pa.int32()),
-                pa.ListArray.from_arrays(ends, pa.array(items, pa.string())),
-                pa.ListArray.from_arrays(ends, pa.array(heads, pa.int64())),
-            ],
-            names=["pair_id", "field", "variant", "pos", "items", "heads"],
-        )
-
-
-_SLOTS = "pair_id bigint, field string, variant string, pos int, items array<string>, heads array<bigint>"
-
-
-def packed_slots(cells: DataFrame) -> DataFrame:
-    """Distinct slots of ``cells``: (pair_id, variant, and the packed fields under their names)."""
-    return cells.mapInArrow(_read_cells, _SLOTS).distinct()
-
-
-def learn_frequencies(slots: DataFrame, contested: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
-    """``(slot..., choice, head, weight)`` of contested slots after expectation-maximisation over the whole column.
-
-    Values seen in uncontested slots count fully; a contested slot shares one
-    count among its values by their likelihood, again in every round.
+def _solve(text: str, read: tuple, marks: list[int], model: Model, atomic: bool, expect: bool):
+    """The most probable way through the pieces of a stretch, or the expected counts of all ways.
+
+    Without a label of several pieces no choice depends on a member, so the
+    result is that of the kinds and delimiters alone and is remembered.
     """
-    key = ["pair_id", "field", "variant", "pos", "items"]
-    open_ = contested.select(*key, F.posexplode("heads").alias("choice", "head"))
-    names = open_.select("head").distinct()
-    small = fits_broadcast(names, CONTESTED_ROW_BYTES, CONTESTED_BROADCAST_BYTES)
-    seen = slots.filter(F.size("heads") == 1).select(F.col("heads")[0].alias("head"))
-    certain = seen.join(F.broadcast(names) if small else names, "head").groupBy("head").agg(F.count("*").cast("double").alias("certain"))
-    # choice k leaves k pieces over
-    start = open_.join(certain, "head", "left").withColumn("certain", F.coalesce("certain", F.lit(UNSEEN)))
-    slot = Window.partitionBy(*key)
-    lattice = start.withColumn("prior", F.pow(F.lit(LEFT_OVER), F.col("choice"))).withColumn("freq", F.col("certain"))
-    for _ in range(rounds):
-        weighed = lattice.withColumn("weight", F.col("freq") * F.col("prior"))
-        shared = weighed.select(*start.columns, "prior", (F.col("weight") / F.sum("weight").over(slot)).alias("share"))
-        # sums in part before the shuffle: a value may be in a third of all slots
-        expected = shared.groupBy("head").agg(F.sum("share").alias("expected"))
-        merged = shared.join(F.broadcast(expected) if small else expected, "head")
-        lattice = written(merged.select(*start.columns, "prior", (F.col("certain") + F.col("expected")).alias("freq")))
-    return lattice.withColumn("weight", F.col("freq") * F.col("prior"))
+    kinds, before, _, ends = read
+    plain = "X" not in kinds or kinds == "X"
+    key = (kinds, before, atomic, expect)
+    known = model.remembered.get(key) if plain else None
+    if known is None:
+        name = (lambda first, last: None) if plain else (lambda first, last: text[marks[first] : ends[last]])
+        lattice = Lattice(kinds, before, model, atomic, name)
+        known = lattice.expected() if expect else lattice.best()
+        if plain:
+            if len(model.remembered) >= REMEMBERED:
+                model.remembered.clear()
+            model.remembered[key] = known
+    return known
+
+
+def _values(way: list[tuple[str, str]], kinds: str) -> list[tuple[int, int, int, str]]:
+    """(first piece, last piece, last piece of the first member, sort) of each value on a way."""
+    out = []
+    first = last_id = 0
+    sort = "any"
+    for i, (state, move) in enumerate(way):
+        if move == "V":
+            first, sort = i, "any"
+        if kinds[i] in "EB":
+            last_id, sort = i, sort if sort == "path" else "entity"
+        if state in COMPLETE:
+            sort = "path"
+        if i + 1 == len(way) or way[i + 1][1] == "V":
+            last = last_id if sort == "entity" else i
+            head = next((j for j in range(first, last + 1) if kinds[j] != "X"), last)
+            out.append((first, last, head, sort))
+    return out
 
 
-def split_packed(cells: DataFrame) -> DataFrame:
+def read_values(text: str | None, model: Model) -> list[tuple[str, str, str]]:
+    """(value, its first member, sort) of every value of a cell in order; see ``SORTS``."""
+    out: list[tuple[str, str, str]] = []
+    for stretch, quoted in stretches(text) if text else ():
+        read = pieces(stretch)
+        kinds, before, starts, ends = read
+        if not kinds:
+            continue
+        marks = _marks(stretch, starts, ends)
+        known = model.cut.get((kinds, before, quoted))
+        if known is None:
+            known = _values(_solve(stretch, read, marks, model, quoted, False), kinds)
+            if "X" not in kinds:
+                if len(model.cut) >= REMEMBERED:
+                    model.cut.clear()
+                model.cut[kinds, before, quoted] = known
+        if quoted:
+            whole = stretch.strip()
+            out.append((whole, whole, max((v[3] for v in known), key=SORTS.index)))
+        else:
+            out += [(stretch[marks[f] : ends[e]], stretch[marks[f] : ends[h]], sort) for f, e, h, sort in known]
+    return [v for v in out if v[2] != "any" or v[0].strip().lower() not in PLACEHOLDERS]
+
+
+def split_cell(text: str | None, paths: bool, model: Model | None = None) -> list[list[tuple[str, str]]]:
+    """The kept values of one cell with their first members: paths, or else entities, under ``model`` or before any learning."""
+    sorts = SORTS[2:] if paths else SORTS[1:]
+    return [[(value, head)] for value, head, sort in read_values(text, model or Model()) if sort in sorts]
+
+
+def _sorts_in(kinds: str) -> np.ndarray:
+    return np.array((1.0, "E" in kinds or "B" in kinds, "T" in kinds or "EPE" in kinds))
+
+
+def _count(models: dict[str, Model]):
+    """A mapInArrow function: expected counts of a partition's cells under the current models, as (field, counter, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = models.value if hasattr(models, "value") else models
+        moves = {f: np.zeros(len(COUNTED)) for f in current}
+        members = {f: np.zeros((HASHES, BUCKETS)) for f in current}
+        sorts = {f: np.zeros(len(SORTS)) for f in current}
+        for batch in batches:
+            for field, model in current.items():
+                column = batch.column(batch.schema.get_field_index(field))
+                listed: list[str] = []
+                chosen: Counter = Counter()
+                shapes: Counter = Counter()
+                for text in column.to_pylist():
+                    for stretch, quoted in stretches(text) if text else ():
+                        read = pieces(stretch)
+                        kinds, before, starts, ends = read
+                        if not kinds:
+                            continue
+                        marks = _marks(stretch, starts, ends)
+                        if "X" not in kinds or kinds == "X":
+                            shapes[kinds, before, quoted] += 1
+                            listed += [stretch[m:e] for m, e in zip(marks, ends)]
+                            continue
+                        sorts[field] += _sorts_in(kinds)
+                        n_moves, n_members = _solve(stretch, read, marks, model, quoted, True)
+                        for i, n in n_moves.items():
+                            moves[field][i] += n
+                        for m, n in n_members.items():
+                            chosen[m] += n
+                for (kinds, before, quoted), times in shapes.items():
+                    sorts[field] += times * _sorts_in(kinds)
+                    for i, n in _solve("", (kinds, before, [], []), [], model, quoted, True)[0].items():
+                        moves[field][i] += times * n
+                named = Counter(listed)
+                named.update(chosen)
+                if named:
+                    n = np.fromiter(named.values(), dtype=np.float64, count=len(named))
+                    at = np.array([buckets(m) for m in named], dtype=np.int64)
+                    for h in range(HASHES):
+                        np.add.at(members[field][h], at[:, h], n)
+        for field in current:
+            flat = np.concatenate([moves[field], sorts[field], members[field].ravel()])
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([field] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(flat[at])], names=["field", "counter", "n"]
+            )
+
+    return run
+
+
+def learn(cells: DataFrame, fields: list[str], rounds: int = EM_ROUNDS) -> dict[str, Model]:
+    """A model of each field by expectation-maximisation over all of its cells.
+
+    A round is one scan; each partition sends its sums of at most
+    ``HASHES * BUCKETS`` member counters and the moves of a field, and so much
+    in all reaches the driver and is broadcast, however large the column.
+    """
+    sc = cells.sparkSession.sparkContext
+    models = {f: Model() for f in fields}
+    n_moves, n_sorts = len(COUNTED), len(SORTS)
+    for _ in range(rounds):
+        shared = sc.broadcast(models)
+        counted = cells.select(*fields).mapInArrow(_count(shared), "field string, counter bigint, n double")
+        sums = counted.groupBy("field", "counter").agg(F.sum("n").alias("n")).toArrow()
+        names = np.array(sums["field"].to_pylist(), dtype=object)
+        counter, n = sums["counter"].to_numpy(), sums["n"].to_numpy()
+        for f in fields:
+            flat = np.zeros(n_moves + n_sorts + HASHES * BUCKETS)
+            own = names == f
+            flat[counter[own]] = n[own]
+            members = flat[n_moves + n_sorts :].reshape(HASHES, BUCKETS).astype(np.float32)
+            models[f] = Model(flat[:n_moves], members, flat[n_moves : n_moves + n_sorts])
+    return models
+
+
+def _split(models, keep: dict[str, str]):
+    """A mapInArrow function: the kept values of every cell on its best way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, field_no, pos, items = [], [], [], []
+            for k, (field, model) in enumerate(models.value.items()):
+                sorts = SORTS[SORTS.index(keep[field]) :]
+                for i, text in enumerate(batch.column(batch.schema.get_field_index(field)).to_pylist()):
+                    kept = [v for v, _, sort in read_values(text, model) if sort in sorts] if text else ()
+                    row += [i] * len(kept)
+                    field_no += [k] * len(kept)
+                    pos += range(1, len(kept) + 1)
+                    items += kept
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(at),
+                    pa.array(list(models.value), pa.string()).take(pa.array(field_no, pa.int64())),
+                    batch.column(1).take(at),
+                    pa.array(pos, pa.int32()),
+                    pa.array(items, pa.string()),
+                ],
+                names=["pair_id", "field", "variant", "pos", "item"],
+            )
+
+    return run
+
+
+def split_packed(cells: DataFrame, keep: Mapping[str, str] | None = None, rounds: int = EM_ROUNDS) -> DataFrame:
     """``(pair_id, field, variant, pos, item)``: one row per value of every packed field of ``cells``.
 
-    ``cells`` has ``pair_id``, ``variant`` and any number of string columns;
-    ``wikidata_entities`` packs entities, every other name packs paths. Null,
-    empty and placeholder cells give no rows, pieces without a value are
-    dropped, ``pos`` counts the kept ones. Repeated cells come out once.
+    ``cells`` has ``pair_id``, ``variant`` and any number of string columns.
+    ``keep`` says what a field's values must be to be kept: ``any`` text,
+    an ``entity`` (with an id) or a ``path`` (with a complete triple); a field
+    it does not name keeps what most of its values are. Null, empty and
+    placeholder cells give no rows, other pieces are dropped, ``pos`` counts
+    the kept ones. Repeated cells come out once.
     """
-    slots = written(packed_slots(cells))
-    sure = slots.filter(F.size("items") == 1).select("pair_id", "field", "variant", "pos", F.col("items")[0].alias("item"))
-    contested = slots.filter(F.size("items") > 1)
-    if contested.isEmpty():
-        return sure
-    best = learn_frequencies(slots, contested).groupBy("pair_id", "field", "variant", "pos", "items").agg(
-        F.max_by("choice", F.struct("weight", -F.col("choice"))).alias("choice")
-    )
-    chosen = best.select("pair_id", "field", "variant", "pos", F.get("items", F.col("choice")).alias("item"))
-    return sure.unionByName(chosen)
+    fields = [c for c in cells.columns if c not in ("pair_id", "variant")]
+    models = learn(cells, fields, rounds)
+    sorts = {f: (keep or {}).get(f) or models[f].holds() for f in fields}
+    for f, sort in sorts.items():
+        if sort not in SORTS:
+            raise ValueError(f"unknown sort {sort!r} of {f}, expected one of {SORTS}")
+    shared = cells.sparkSession.sparkContext.broadcast(models)
+    kind = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("pair_id", "variant"))
+    kind = kind.replace(", variant", ", field string, variant") + ", pos int, item string"
+    return cells.select("pair_id", "variant", *fields).mapInArrow(_split(shared, sorts), kind).distinct()

@@ -36,7 +36,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     variants = table(spark, d, "context_variants").select(
         "pair_id", F.coalesce("variant", F.lit("")).alias("variant"), *[none.alias(f) for f in fields[:2]], "paths"
     )
-    return packed.split_packed(sheet.unionByName(variants))
+    keep = {"wikidata_entities": "entity", "wikidata_paths_llm": "path", "paths": "path"}
+    return packed.split_packed(sheet.unionByName(variants), keep)
 
 
 @query
