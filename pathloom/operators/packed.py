@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import storable
+from ..session import storable, written
 
 EM_ROUNDS = 2
 #: Member frequencies are kept in ``HASHES`` rows of so many hashed counters, whatever the size of the column: a member
@@ -80,8 +80,8 @@ _PRIOR_KINDS = {
 PRIOR_WEIGHT = 50.0
 
 _TOKEN = re.compile(
-    r"\(([QP])\d+\)(?:(\s*(?:[-=]+>|→|--+\[?|[-=]+(?=\s*(?:[|;\r\n\t]|$))))|[ ]?([\r\n\t|;,/]))?"
-    r"|([\r\n\t|;,/])|(<[^<>\r\n]*>)|(?<![\w(])Q\d+(?![\w)])"
+    r"(\(([QP])\d+\)(?:(\s*(?:[-=]+>|→|--+\[?|[-=]+(?=\s*(?:[|;\r\n\t]|$))))|([ ]?[\r\n\t|;,/]))?"
+    r"|([\r\n\t|;,/])|(<[^<>\r\n]*>)|(?<![\w(])Q\d+(?![\w)]))"
 )
 _BLANKS = " \t\r\n|;,/"
 _TAIL = _BLANKS + "]}"
@@ -94,7 +94,7 @@ _OPENS = re.compile(r"(?:^|[\[,;|\r\n\t/])\s*[\"']")
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.S)
 _NAMED = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 _RANK = {c: i for i, c in enumerate(" ,/;|tn")}
-_CLASS = {"\r": "n", "\n": "n", "\t": "t"}
+_CLASS = {"\r": "n", "\n": "n", "\t": "t", " \r": "n", " \n": "n", " \t": "t"}
 
 
 def _unescape(text: str) -> str:
@@ -145,41 +145,41 @@ def pieces(text: str) -> tuple[str, str, list[int], list[int]]:
     text = text.rstrip(_TAIL)
     kinds, before, starts, ends = [], [], [], []
     between, at = " ", 0  # the delimiter class so far, and where the text behind it starts
-    for m in _TOKEN.finditer(text):
-        start, end = m.span()
-        chars = text[at:start]
+    parts = iter(_TOKEN.split(text))
+    for chars, token, entity, chain, after, delimiter, angle in zip(*[parts] * 7):
+        start = at + len(chars)
+        at = start + len(token)
         body = chars.lstrip(_BLANKS)
-        entity, chain, after, delimiter, angle = m.groups()
         if entity:
             kinds.append("E" if entity == "Q" else "P")
             before.append(between)
             starts.append(start - len(body))
-            if chain:
+            if after:
+                between = _CLASS.get(after) or after[-1]
+                ends.append(at - len(after))
+            elif chain:
                 between = ">"
-                ends.append(end - len(chain))
-            elif after:
-                between = _CLASS.get(after, after)
-                ends.append(end - len(m[0]) + m[0].index(")") + 1)
+                ends.append(at - len(chain))
             else:
                 between = " "
-                ends.append(end)
-        elif body or (delimiter and between == ">"):
+                ends.append(at)
+            continue
+        if body or (delimiter and between == ">"):
             kinds.append("X")
             before.append(between)
-            starts.append(start - len(body) if body else at)
+            starts.append(start - len(body))
             ends.append(starts[-1] + len(body.rstrip()))
             between = " "
         if delimiter:
             c = _CLASS.get(delimiter, delimiter)
             if _RANK[c] > _RANK[between]:
                 between = c
-        elif not entity:
+        else:
             kinds.append("B" if not angle else "T" if angle.count(",") >= 2 else "X")
             before.append(between)
             starts.append(start)
-            ends.append(end)
+            ends.append(at)
             between = " "
-        at = end
     body = text[at:].lstrip(_BLANKS)
     if body or between == ">":
         kinds.append("X")
@@ -210,7 +210,9 @@ class Model:
         self.counts = np.zeros(len(COUNTED)) if counts is None else counts
         self.members, self.sorts = members, sorts
         self.total = float(members[0].sum()) if members is not None else 0.0
-        self.remembered: dict = {}
+        self.lattices: dict = {}
+        self.ways: dict = {}
+        self.counts_of: dict = {}
         self.cut: dict = {}
         self.ends: dict[str, float] = {}
         self._arcs: dict = {}
@@ -263,20 +265,22 @@ class Model:
 
 
 class Lattice:
-    """All ways through the pieces of one stretch.
+    """All ways through pieces of given kinds and delimiters.
 
-    ``columns[i]`` are the hypotheses (state, first piece of the member being
+    ``columns[i]`` are the hypotheses (state, first piece of the label being
     read) behind piece i; ``arcs[i]`` lead there from ``columns[i - 1]`` as
-    (from, to, probability, (state, move), members finished by it).
+    (from, to, probability, move counter, move, members finished by it). A
+    member is a number in ``spans``, its (first, last) piece; their weights are
+    given when a way is asked for, so equal shapes share a lattice.
     """
 
-    def __init__(self, kinds: str, before: str, model: Model, atomic: bool, name):
-        def member(first: int, last: int) -> tuple[tuple, float]:
-            text = name(first, last) if first >= 0 else None
-            return ((text,), model.weight(text)) if text else ((), UNSEEN)
+    def __init__(self, kinds: str, before: str, model: Model, atomic: bool):
+        numbers: dict[tuple[int, int], int] = {}
+
+        def member(first: int, last: int) -> tuple[tuple[int, ...], float]:
+            return ((numbers.setdefault((first, last), len(numbers)),), 1.0) if first >= 0 else ((), UNSEEN)
 
-        self.kinds, self.before = kinds, before
-        self.names0, self.weight0 = member(0, 0) if kinds[0] in "EP" else ((), 1.0)
+        self.opening = member(0, 0)[0] if kinds[0] in "EP" else ()
         here = [(FIRST[kinds[0]], 0)]
         self.columns, self.arcs = [here], []
         for i in range(1, len(kinds)):
@@ -285,75 +289,100 @@ class Lattice:
             arcs = []
             for n, (state, first) in enumerate(here):
                 for move, state_2, p in model.arcs(state, delimiter, kind):
-                    names: tuple = ()
+                    spans: tuple = ()
                     start = i
                     if move == "L":
                         start = first if i - first < LONGEST else -1
                     elif move == "V" and state in LABELS:
-                        names, w = member(first, i - 1)
+                        spans, w = member(first, i - 1)
                         p *= w
                     if kind in "EP":
                         own, w = member(start, i)
-                        names, p = names + own, p * w
+                        spans, p = spans + own, p * w
                     to = onward.setdefault((state_2, start if state_2 in LABELS else i), len(onward))
-                    arcs.append((n, to, p, (state, move), names))
-            if atomic and any(a[3][1] != "V" for a in arcs):  # nothing ends inside, as long as anything else is possible
-                arcs = [a for a in arcs if a[3][1] != "V"]
+                    arcs.append((n, to, p, _COUNTED[state, move, delimiter, kind], move, spans))
+            if atomic and any(a[4] != "V" for a in arcs):  # nothing ends inside, as long as anything else is possible
+                arcs = [a for a in arcs if a[4] != "V"]
             self.arcs.append(arcs)
             here = list(onward)
             self.columns.append(here)
         ends = [member(first, len(kinds) - 1) if state in LABELS else ((), 1.0) for state, first in here]
-        self.ends = [model.ends[state] * w for (state, _), (_, w) in zip(here, ends)]
-        self.end_names = [names for names, _ in ends]
+        self.ends = [(model.ends[state] * w, spans, _COUNTED[state, "V", "", ""]) for (state, _), (spans, w) in zip(here, ends)]
+        self.spans = list(numbers)
 
-    def best(self) -> list[tuple[str, str]]:
+    def _weighed(self, weights: list[float]) -> tuple[list[list[tuple]], list[float]]:
+        steps = []
+        for arcs in self.arcs:
+            step = []
+            for arc in arcs:
+                p = arc[2]
+                for n in arc[5]:
+                    p *= weights[n]
+                step.append((arc[0], arc[1], p, arc))
+            steps.append(step)
+        ends = []
+        for p, spans, _ in self.ends:
+            for n in spans:
+                p *= weights[n]
+            ends.append(p)
+        return steps, ends
+
+    def best(self, weights: list[float]) -> list[tuple[str, str]]:
         """(state, move into it) of every piece on the most probable way."""
+        steps, ends = self._weighed(weights)
         score, back = [1.0], []
-        for arcs, column in zip(self.arcs, self.columns[1:]):
+        for step, column in zip(steps, self.columns[1:]):
             top, origin = [0.0] * len(column), [None] * len(column)
-            for arc in arcs:
-                p = score[arc[0]] * arc[2]
-                if p > top[arc[1]]:
-                    top[arc[1]], origin[arc[1]] = p, arc
+            for source, to, p, arc in step:
+                p *= score[source]
+                if p > top[to]:
+                    top[to], origin[to] = p, arc
             scale = max(top) or 1.0
             score = [p / scale for p in top]
             back.append(origin)
-        at = max(range(len(score)), key=lambda n: score[n] * self.ends[n])
+        at = max(range(len(score)), key=lambda n: score[n] * ends[n])
         way = []
         for column, origin in zip(self.columns[:0:-1], back[::-1]):
             arc = origin[at]
-            way.append((column[at][0], arc[3][1]))
+            way.append((column[at][0], arc[4]))
             at = arc[0]
         return [(self.columns[0][0][0], "V"), *way[::-1]]
 
-    def expected(self) -> tuple[dict[int, float], dict[str, float]]:
+    def expected(self, weights: list[float]) -> tuple[dict[int, float], dict[int, float]]:
         """Expected counts of moves and of members over all ways, each by its probability (forward and backward)."""
+        steps, ends = self._weighed(weights)
         forward = [[1.0]]
-        for arcs, column in zip(self.arcs, self.columns[1:]):
-            sums = [0.0] * len(column)
-            for a in arcs:
-                sums[a[1]] += forward[-1][a[0]] * a[2]
+        for step, column in zip(steps, self.columns[1:]):
+            sums, now = [0.0] * len(column), forward[-1]
+            for source, to, p, _ in step:
+                sums[to] += now[source] * p
             scale = sum(sums) or 1.0
             forward.append([p / scale for p in sums])
-        moves: dict[int, float] = Counter()
-        members: dict[str, float] = Counter(self.names0)
-        whole = sum(f * e for f, e in zip(forward[-1], self.ends)) or 1.0
-        later = [e / whole for e in self.ends]
-        for (state, _), f, e, names in zip(self.columns[-1], forward[-1], later, self.end_names):
-            moves[_COUNTED[state, "V", "", ""]] += f * e
-            for name in names:
-                members[name] += f * e
-        for i in range(len(self.arcs) - 1, -1, -1):
-            kind, delimiter = self.kinds[i + 1], self.before[i + 1]
-            mass = [0.0] * len(self.columns[i])
-            through = [(a, forward[i][a[0]] * a[2] * later[a[1]]) for a in self.arcs[i]]
-            total = sum(g for _, g in through) or 1.0
-            for a, g in through:
+        moves: dict[int, float] = {}
+        members: dict[int, float] = dict.fromkeys(self.opening, 1.0)
+        whole = sum(f * e for f, e in zip(forward[-1], ends)) or 1.0
+        later = [e / whole for e in ends]
+        for f, e, (_, spans, counter) in zip(forward[-1], later, self.ends):
+            moves[counter] = moves.get(counter, 0.0) + f * e
+            for n in spans:
+                members[n] = members.get(n, 0.0) + f * e
+        for i in range(len(steps) - 1, -1, -1):
+            now = forward[i]
+            mass = [0.0] * len(now)
+            through = []
+            total = 0.0
+            for source, to, p, arc in steps[i]:
+                p *= later[to]
+                mass[source] += p
+                p *= now[source]
+                total += p
+                through.append((p, arc))
+            total = total or 1.0
+            for g, arc in through:
                 g /= total
-                moves[_COUNTED[a[3][0], a[3][1], delimiter, kind]] += g
-                for name in a[4]:
-                    members[name] += g
-                mass[a[0]] += a[2] * later[a[1]]
+                moves[arc[3]] = moves.get(arc[3], 0.0) + g
+                for n in arc[5]:
+                    members[n] = members.get(n, 0.0) + g
             scale = max(mass) or 1.0
             later = [m / scale for m in mass]
         return moves, members
@@ -370,24 +399,41 @@ def _marks(text: str, starts: list[int], ends: list[int]) -> list[int]:
     return out
 
 
+def _lattice(kinds: str, before: str, model: Model, atomic: bool) -> Lattice:
+    known = model.lattices.get((kinds, before, atomic))
+    if known is None:
+        if len(model.lattices) >= REMEMBERED:
+            model.lattices.clear()
+        known = model.lattices[kinds, before, atomic] = Lattice(kinds, before, model, atomic)
+    return known
+
+
 def _solve(text: str, read: tuple, marks: list[int], model: Model, atomic: bool, expect: bool):
-    """The most probable way through the pieces of a stretch, or the expected counts of all ways.
+    """The most probable way through the pieces of a stretch, or the expected counts of moves and of (first, last) members.
 
-    Without a label of several pieces no choice depends on a member, so the
-    result is that of the kinds and delimiters alone and is remembered.
+    Where no label has several pieces no choice depends on a member, so the
+    result is that of the kinds and delimiters alone and is remembered; so it
+    is as long as no frequency has been learned.
     """
     kinds, before, _, ends = read
-    plain = "X" not in kinds or kinds == "X"
-    key = (kinds, before, atomic, expect)
-    known = model.remembered.get(key) if plain else None
+    shared = not model.total or "X" not in kinds or kinds == "X"
+    memory = model.counts_of if expect else model.ways
+    known = memory.get((kinds, before, atomic)) if shared else None
     if known is None:
-        name = (lambda first, last: None) if plain else (lambda first, last: text[marks[first] : ends[last]])
-        lattice = Lattice(kinds, before, model, atomic, name)
-        known = lattice.expected() if expect else lattice.best()
-        if plain:
-            if len(model.remembered) >= REMEMBERED:
-                model.remembered.clear()
-            model.remembered[key] = known
+        lattice = _lattice(kinds, before, model, atomic)
+        if shared:
+            weights = [UNSEEN] * len(lattice.spans)
+        else:
+            weights = [model.weight(text[marks[f] : ends[e]]) for f, e in lattice.spans]
+        if expect:
+            moves, members = lattice.expected(weights)
+            known = moves, [(*lattice.spans[n], p) for n, p in members.items()]
+        else:
+            known = lattice.best(weights)
+        if shared:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            memory[kinds, before, atomic] = known
     return known
 
 
@@ -440,58 +486,103 @@ def split_cell(text: str | None, paths: bool, model: Model | None = None) -> lis
     return [[(value, head)] for value, head, sort in read_values(text, model or Model()) if sort in sorts]
 
 
-def _sorts_in(kinds: str) -> np.ndarray:
-    return np.array((1.0, "E" in kinds or "B" in kinds, "T" in kinds or "EPE" in kinds))
-
-
-def _count(models: dict[str, Model]):
-    """A mapInArrow function: expected counts of a partition's cells under the current models, as (field, counter, n)."""
+#: Counters of a field: moves and sorts first, members behind them.
+_HEAD = len(COUNTED) + len(SORTS)
+_WIDTH = _HEAD + HASHES * BUCKETS
+
+
+def _sorts_in(kinds: str) -> tuple[int, bool, bool]:
+    return 1, "E" in kinds or "B" in kinds, "T" in kinds or "EPE" in kinds
+
+
+#: A survey's rows are sums of member counters, shapes without a choice of labels with their number, or contested stretches.
+_SURVEY = "field int, counter int, n double, kinds string, before string, atomic boolean, text string"
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the rounds of learning need of a partition's cells; the columns are the fields."""
+
+    def rows(field: int, count: int, **columns) -> pa.RecordBatch:
+        kinds = {"counter": pa.int32(), "n": pa.float64(), "kinds": pa.string(), "before": pa.string(), "atomic": pa.bool_(), "text": pa.string()}
+        arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in kinds.items()]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(count, field), pa.int32()), *arrays], names=["field", *kinds])
+
+    members: list[np.ndarray] = []
+    shapes: list[Counter] = []
+
+    def shape_rows() -> Iterator[pa.RecordBatch]:
+        for k, found in enumerate(shapes):
+            if found:
+                kinds, before, atomic = zip(*found)
+                yield rows(k, len(found), n=list(map(float, found.values())), kinds=kinds, before=before, atomic=atomic)
+                found.clear()
+
+    for batch in batches:
+        for k, column in enumerate(batch.columns):
+            if k == len(members):
+                members.append(np.zeros((HASHES, BUCKETS)))
+                shapes.append(Counter())
+            listed: list[str] = []
+            texts, atomic = [], []
+            found = shapes[k]
+            for text in column.to_pylist():
+                for stretch, quoted in stretches(text) if text else ():
+                    kinds, before, starts, ends = pieces(stretch)
+                    if "X" in kinds and kinds != "X":
+                        texts.append(stretch)
+                        atomic.append(quoted)
+                    elif kinds:
+                        found[kinds, before, quoted] += 1
+                        listed += [stretch[m:e] for m, e in zip(_marks(stretch, starts, ends), ends)]
+            _add(members[k], Counter(listed))
+            if texts:
+                yield rows(k, len(texts), atomic=atomic, text=texts)
+        if sum(map(len, shapes)) > REMEMBERED:
+            yield from shape_rows()
+    yield from shape_rows()
+    for k, own in enumerate(members):
+        at = np.flatnonzero(own)
+        yield rows(k, len(at), counter=at, n=own.ravel()[at])
+
+
+def _add(members: np.ndarray, named: Mapping[str, float]) -> None:
+    """Add the counts of ``named`` to their counters."""
+    if named:
+        n = np.fromiter(named.values(), dtype=np.float64, count=len(named))
+        at = np.array([buckets(m) for m in named], dtype=np.int64)
+        for h in range(HASHES):
+            np.add.at(members[h], at[:, h], n)
+
+
+def _count(models):
+    """A mapInArrow function: expected counts of surveyed shapes and stretches under the current models, as (field, counter, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = models.value if hasattr(models, "value") else models
-        moves = {f: np.zeros(len(COUNTED)) for f in current}
-        members = {f: np.zeros((HASHES, BUCKETS)) for f in current}
-        sorts = {f: np.zeros(len(SORTS)) for f in current}
+        counts = [np.zeros(_WIDTH) for _ in models.value]
         for batch in batches:
-            for field, model in current.items():
-                column = batch.column(batch.schema.get_field_index(field))
-                listed: list[str] = []
-                chosen: Counter = Counter()
-                shapes: Counter = Counter()
-                for text in column.to_pylist():
-                    for stretch, quoted in stretches(text) if text else ():
-                        read = pieces(stretch)
-                        kinds, before, starts, ends = read
-                        if not kinds:
-                            continue
-                        marks = _marks(stretch, starts, ends)
-                        if "X" not in kinds or kinds == "X":
-                            shapes[kinds, before, quoted] += 1
-                            listed += [stretch[m:e] for m, e in zip(marks, ends)]
-                            continue
-                        sorts[field] += _sorts_in(kinds)
-                        n_moves, n_members = _solve(stretch, read, marks, model, quoted, True)
-                        for i, n in n_moves.items():
-                            moves[field][i] += n
-                        for m, n in n_members.items():
-                            chosen[m] += n
-                for (kinds, before, quoted), times in shapes.items():
-                    sorts[field] += times * _sorts_in(kinds)
-                    for i, n in _solve("", (kinds, before, [], []), [], model, quoted, True)[0].items():
-                        moves[field][i] += times * n
-                named = Counter(listed)
-                named.update(chosen)
-                if named:
-                    n = np.fromiter(named.values(), dtype=np.float64, count=len(named))
-                    at = np.array([buckets(m) for m in named], dtype=np.int64)
-                    for h in range(HASHES):
-                        np.add.at(members[field][h], at[:, h], n)
-        for field in current:
-            flat = np.concatenate([moves[field], sorts[field], members[field].ravel()])
+            columns = [batch.column(c).to_pylist() for c in ("field", "n", "kinds", "before", "atomic", "text")]
+            named: list[dict[str, float]] = [{} for _ in counts]
+            for k, n, kinds, before, atomic, text in zip(*columns):
+                flat, model = counts[k], models.value[k]
+                if text is None:
+                    moves = _solve("", (kinds, before, [], []), [], model, atomic, True)[0]
+                else:
+                    n, own = 1.0, named[k]
+                    read = pieces(text)
+                    kinds, _, starts, ends = read
+                    marks = _marks(text, starts, ends)
+                    moves, members = _solve(text, read, marks, model, atomic, True)
+                    for f, e, p in members:
+                        name = text[marks[f] : ends[e]]
+                        own[name] = own.get(name, 0.0) + p
+                for i, p in moves.items():
+                    flat[i] += n * p
+                flat[len(COUNTED) : _HEAD] += np.multiply(n, _sorts_in(kinds))
+            for flat, own in zip(counts, named):
+                _add(flat[_HEAD:].reshape(HASHES, BUCKETS), own)
+        for k, flat in enumerate(counts):
             at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([field] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(flat[at])], names=["field", "counter", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(flat[at])], names=["field", "counter", "n"])
 
     return run
 
@@ -499,26 +590,34 @@ def _count(models: dict[str, Model]):
 def learn(cells: DataFrame, fields: list[str], rounds: int = EM_ROUNDS) -> dict[str, Model]:
     """A model of each field by expectation-maximisation over all of its cells.
 
-    A round is one scan; each partition sends its sums of at most
-    ``HASHES * BUCKETS`` member counters and the moves of a field, and so much
-    in all reaches the driver and is broadcast, however large the column.
+    One scan surveys the cells; the rounds read its shapes, with their
+    numbers, and its contested stretches. A partition sends at most its sums of
+    the ``HASHES * BUCKETS`` member counters and the moves of a field, and so
+    much reaches the driver and is broadcast, however large the column.
     """
+    if not fields:
+        return {}
     sc = cells.sparkSession.sparkContext
-    models = {f: Model() for f in fields}
-    n_moves, n_sorts = len(COUNTED), len(SORTS)
+    survey = written(cells.select(*fields).mapInArrow(_survey, _SURVEY))
+
+    def sums(counters: DataFrame) -> np.ndarray:
+        table = counters.groupBy("field", "counter").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros((len(fields), _WIDTH))
+        out[table["field"].to_numpy(), table["counter"].to_numpy()] = table["n"].to_numpy()
+        return out
+
+    certain = sums(survey.filter("counter is not null").select("field", F.col("counter") + _HEAD, "n").toDF("field", "counter", "n"))
+    shape = ["field", "kinds", "before", "atomic"]
+    shapes = survey.filter("kinds is not null").groupBy(*shape).agg(F.sum("n").alias("n"))
+    rest = shapes.unionByName(survey.filter("text is not null").select("field", "atomic", "text"), allowMissingColumns=True)
+    models = [Model() for _ in fields]
     for _ in range(rounds):
-        shared = sc.broadcast(models)
-        counted = cells.select(*fields).mapInArrow(_count(shared), "field string, counter bigint, n double")
-        sums = counted.groupBy("field", "counter").agg(F.sum("n").alias("n")).toArrow()
-        names = np.array(sums["field"].to_pylist(), dtype=object)
-        counter, n = sums["counter"].to_numpy(), sums["n"].to_numpy()
-        for f in fields:
-            flat = np.zeros(n_moves + n_sorts + HASHES * BUCKETS)
-            own = names == f
-            flat[counter[own]] = n[own]
-            members = flat[n_moves + n_sorts :].reshape(HASHES, BUCKETS).astype(np.float32)
-            models[f] = Model(flat[:n_moves], members, flat[n_moves : n_moves + n_sorts])
-    return models
+        counted = rest.mapInArrow(_count(sc.broadcast(models)), "field int, counter int, n double")
+        flat = certain + sums(counted)
+        models = [
+            Model(own[: len(COUNTED)], own[_HEAD:].reshape(HASHES, BUCKETS).astype(np.float32), own[len(COUNTED) : _HEAD]) for own in flat
+        ]
+    return dict(zip(fields, models))
 
 
 def _split(models, keep: dict[str, str]):
