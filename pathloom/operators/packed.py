@@ -28,7 +28,7 @@ from ..session import storable, written
 EM_ROUNDS = 2
 #: Member frequencies are kept in ``HASHES`` rows of so many hashed counters, whatever the size of the column: a member
 #: reads as its smallest counter less what a counter holds on average, so one rarer than 1 in ``BUCKETS`` reads as unseen.
-BUCKETS, HASHES = 1 << 18, 4
+BUCKETS, HASHES = 1 << 18, 3
 #: Weight of a member never seen, and how much rarer than their members single words are taken to be, to at most so many words.
 UNSEEN, WORD, MOST_WORDS = 0.2, 50.0, 4
 #: Pieces a member with a frequency of its own may have. Longer labels are read too, with the weight of unseen ones.
@@ -199,8 +199,8 @@ SORTS = ("any", "entity", "path")
 
 def buckets(member: str) -> tuple[int, ...]:
     """A member's counter in each row of counters."""
-    digest = xxhash.xxh3_128_intdigest(member)
-    return tuple((digest >> (32 * h)) % BUCKETS for h in range(HASHES))
+    digest = xxhash.xxh3_64_intdigest(member)
+    return tuple((digest >> (21 * h)) % BUCKETS for h in range(HASHES))
 
 
 class Model:
@@ -309,6 +309,8 @@ class Lattice:
         ends = [member(first, len(kinds) - 1) if state in LABELS else ((), 1.0) for state, first in here]
         self.ends = [(model.ends[state] * w, spans, _COUNTED[state, "V", "", ""]) for (state, _), (spans, w) in zip(here, ends)]
         self.spans = list(numbers)
+        #: Spans that only some ways hold: the weights of all others change no choice.
+        self.open = sorted({n for arcs in self.arcs if len({a[5] for a in arcs}) > 1 for a in arcs for n in a[5]} | {n for _, s, _ in self.ends for n in s})
 
     def _weighed(self, weights: list[float]) -> tuple[list[list[tuple]], list[float]]:
         steps = []
@@ -424,7 +426,10 @@ def _solve(text: str, read: tuple, marks: list[int], model: Model, atomic: bool,
         if shared:
             weights = [UNSEEN] * len(lattice.spans)
         else:
-            weights = [model.weight(text[marks[f] : ends[e]]) for f, e in lattice.spans]
+            weights = [UNSEEN] * len(lattice.spans)
+            for n in lattice.open:
+                f, e = lattice.spans[n]
+                weights[n] = model.weight(text[marks[f] : ends[e]])
         if expect:
             moves, members = lattice.expected(weights)
             known = moves, [(*lattice.spans[n], p) for n, p in members.items()]
@@ -456,8 +461,8 @@ def _values(way: list[tuple[str, str]], kinds: str) -> list[tuple[int, int, int,
     return out
 
 
-def read_values(text: str | None, model: Model) -> list[tuple[str, str, str]]:
-    """(value, its first member, sort) of every value of a cell in order; see ``SORTS``."""
+def read_values(text: str | None, model: Model, sorts: tuple[str, ...] = SORTS) -> list[tuple[str, str, str]]:
+    """(value, its first member, sort) of every value of a cell in order, of those ``sorts``."""
     out: list[tuple[str, str, str]] = []
     for stretch, quoted in stretches(text) if text else ():
         read = pieces(stretch)
@@ -474,16 +479,18 @@ def read_values(text: str | None, model: Model) -> list[tuple[str, str, str]]:
                 model.cut[kinds, before, quoted] = known
         if quoted:
             whole = stretch.strip()
-            out.append((whole, whole, max((v[3] for v in known), key=SORTS.index)))
+            sort = max((v[3] for v in known), key=SORTS.index)
+            if sort in sorts:
+                out.append((whole, whole, sort))
         else:
-            out += [(stretch[marks[f] : ends[e]], stretch[marks[f] : ends[h]], sort) for f, e, h, sort in known]
+            out += [(stretch[marks[f] : ends[e]], stretch[marks[f] : ends[h]], sort) for f, e, h, sort in known if sort in sorts]
     return [v for v in out if v[2] != "any" or v[0].strip().lower() not in PLACEHOLDERS]
 
 
 def split_cell(text: str | None, paths: bool, model: Model | None = None) -> list[list[tuple[str, str]]]:
     """The kept values of one cell with their first members: paths, or else entities, under ``model`` or before any learning."""
     sorts = SORTS[2:] if paths else SORTS[1:]
-    return [[(value, head)] for value, head, sort in read_values(text, model or Model()) if sort in sorts]
+    return [[(value, head)] for value, head, _ in read_values(text, model or Model(), sorts)]
 
 
 #: Counters of a field: moves and sorts first, members behind them.
@@ -629,7 +636,7 @@ def _split(models, keep: dict[str, str]):
             for k, (field, model) in enumerate(models.value.items()):
                 sorts = SORTS[SORTS.index(keep[field]) :]
                 for i, text in enumerate(batch.column(batch.schema.get_field_index(field)).to_pylist()):
-                    kept = [v for v, _, sort in read_values(text, model) if sort in sorts] if text else ()
+                    kept = [v[0] for v in read_values(text, model, sorts)] if text else ()
                     row += [i] * len(kept)
                     field_no += [k] * len(kept)
                     pos += range(1, len(kept) + 1)
