@@ -28,9 +28,9 @@ from ..session import storable, written
 EM_ROUNDS = 2
 #: Member frequencies are kept in ``HASHES`` rows of so many hashed counters, whatever the size of the column: a member
 #: reads as its smallest counter less what a counter holds on average, so one rarer than 1 in ``BUCKETS`` reads as unseen.
-BUCKETS, HASHES = 1 << 18, 3
+BUCKETS, HASHES = 1 << 20, 3
 #: Weight of a member never seen, and how much rarer than their members single words are taken to be, to at most so many words.
-UNSEEN, WORD, MOST_WORDS = 0.2, 50.0, 4
+UNSEEN, WORD, MOST_WORDS = 0.2, 50.0, 12
 #: Pieces a member with a frequency of its own may have. Longer labels are read too, with the weight of unseen ones.
 LONGEST = 8
 # Words and signs that stand for nothing.
@@ -122,8 +122,9 @@ def stretches(text: str) -> Iterator[tuple[str, bool]]:
             at = nxt.start()
             continue
         m = pattern.match(text, quote)
-        if quote > at:
-            yield text[at:quote], False
+        between = text[at:quote].lstrip(" [{")
+        if between.strip(_BLANKS):
+            yield between, False
         if not m:
             at = quote + 1
             break
@@ -200,7 +201,7 @@ SORTS = ("any", "entity", "path")
 def buckets(member: str) -> tuple[int, ...]:
     """A member's counter in each row of counters."""
     digest = xxhash.xxh3_64_intdigest(member)
-    return tuple((digest >> (21 * h)) % BUCKETS for h in range(HASHES))
+    return tuple((digest >> (22 * h)) % BUCKETS for h in range(HASHES))
 
 
 class Model:
