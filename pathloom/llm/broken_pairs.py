@@ -11,6 +11,7 @@ other: the operator is one pass over the table.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -24,10 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
+#: The rest: answers without a path that are none of these.
+NO_PATH = "no_path"
 #: Labelled rows for the language model: at most so many of each language, chosen by a hash of the text.
 EXAMPLES_PER_LANGUAGE = 400
 #: Least length of a tile in words, and the share of the answer that tiles must cover to make it a copy.
 TILE_WORDS, COPIED_SHARE = 3, 0.7
+#: Most words of an answer that broke off within its first label, before any id.
+LABEL_WORDS = 8
 #: How much likelier (natural log) another language must be than the question's.
 LANGUAGE_MARGIN = 3.0
 
@@ -67,6 +72,7 @@ _WORD = re.compile(r"[^\W_]+(?:[-_'’][^\W_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _NAME = re.compile(r"\S*_\S*")
+_SENTENCE = re.compile(r"[.!?:;,。、]")
 _IDS = re.compile(r"\([QP]\d*\)?|\b[QP]\d+\b")
 _TOKEN = re.compile(
     r"(?P<fence>```\w*)|(?P<member>\((?P<kind>[QP])\d+\))|(?P<arrow>-+>|=+>|→)|(?P<open>[\[{<])|(?P<close>[\]}>])"
@@ -227,50 +233,84 @@ def is_placeholder(answer: str | None) -> bool:
     return core in PLACEHOLDERS
 
 
+class SuffixAutomaton:
+    """All runs of words of a sequence; built and walked in time linear in its length."""
+
+    def __init__(self, words: list[str]):
+        self.onward: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for w in words:
+            new = len(self.link)
+            self.onward.append({})
+            self.link.append(0)
+            self.length.append(self.length[last] + 1)
+            at = last
+            while at >= 0 and w not in self.onward[at]:
+                self.onward[at][w] = new
+                at = self.link[at]
+            if at >= 0:
+                to = self.onward[at][w]
+                if self.length[to] == self.length[at] + 1:
+                    self.link[new] = to
+                else:
+                    twin = len(self.link)
+                    self.onward.append(self.onward[to].copy())
+                    self.link.append(self.link[to])
+                    self.length.append(self.length[at] + 1)
+                    while at >= 0 and self.onward[at].get(w) == to:
+                        self.onward[at][w] = twin
+                        at = self.link[at]
+                    self.link[to] = self.link[new] = twin
+            last = new
+
+    def matches(self, words: list[str], least: int) -> list[tuple[int, int]]:
+        """(length, start) of every run of ``words`` of at least ``least`` words that occurs here and cannot go on."""
+        found = []
+        state = length = 0
+        for i, w in enumerate(words):
+            before = length
+            while state > 0 and w not in self.onward[state]:
+                state = self.link[state]
+                length = self.length[state]
+            if w in self.onward[state]:
+                state, length = self.onward[state][w], length + 1
+            if length <= before and before >= least:
+                found.append((before, i - before))
+        if length >= least:
+            found.append((length, len(words) - length))
+        return found
+
+
 def tiled_share(answer: list[str], question: list[str], least: int = TILE_WORDS) -> float:
     """Share of ``answer`` that greedy string tiling covers with tiles of ``question``.
 
-    Longest common runs first, each word of either side in one tile at most.
-    Answers repeated in full, or the question's words in another layout, reach
-    1; the question's tiles may be used again by later passes over a longer
-    answer.
+    The longest common runs are laid first; a word of the answer lies in one
+    tile at most, runs that overlap a laid tile shrink to what is free. The
+    question may be used again, so answers repeated in full reach 1 too. A run
+    shrinks at most once at each end, so the time is that of sorting the runs
+    of a suffix automaton, also where both sides are long and repetitive.
     """
     if not answer or not question:
         return 0.0
+    queue = [(-n, start) for n, start in SuffixAutomaton(question).matches(answer, least)]
+    heapq.heapify(queue)
+    free = bytearray(b"\1") * len(answer)
     covered = 0
-    free_a = [True] * len(answer)
-    at: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for j in range(len(question) - least + 1):
-        at[tuple(question[j : j + least])].append(j)
-    fresh = True
-    while fresh:  # a pass is one tiling of the question
-        fresh = False
-        free_q = [True] * len(question)
-        while True:
-            best, tiles = least, []
-            i = 0
-            while i + best <= len(answer):
-                if not free_a[i]:
-                    i += 1
-                    continue
-                for j in at.get(tuple(answer[i : i + least]), ()):
-                    k = 0
-                    while i + k < len(answer) and j + k < len(question) and answer[i + k] == question[j + k] and free_a[i + k] and free_q[j + k]:
-                        k += 1
-                    if k > best:
-                        best, tiles = k, [(i, j)]
-                    elif k == best:
-                        tiles.append((i, j))
-                i += 1
-            laid = False
-            for i, j in tiles:
-                if all(free_a[i : i + best]) and all(free_q[j : j + best]):
-                    free_a[i : i + best] = [False] * best
-                    free_q[j : j + best] = [False] * best
-                    covered += best
-                    laid = fresh = True
-            if not laid:
-                break
+    while queue:
+        n, start = heapq.heappop(queue)
+        first, end = start, start - n
+        if not free[first]:
+            first = free.find(1, first, end)
+            if first < 0:
+                continue
+        if not free[end - 1]:
+            end = free.rfind(1, first, end) + 1
+        if end - first == -n:
+            free[first:end] = bytes(end - first)
+            covered += end - first
+        elif end - first >= least:
+            heapq.heappush(queue, (first - end, first))
     return covered / len(answer)
 
 
@@ -344,7 +384,10 @@ def classify(question: str | None, answer: str | None, model: LanguageModel) ->
     """The defect of one pair, or None where the answer is sound.
 
     Null, blank and placeholder answers are ``empty``. A null question only
-    leaves the checks that need none.
+    leaves the checks that need none. An answer without a path is a refusal
+    only where a grammar matches it, and truncated only where a path has begun:
+    an id was read, or all of it can be the start of a label. Any other answer
+    without a path is ``NO_PATH``.
     """
     if is_placeholder(answer):
         return "empty"
@@ -359,8 +402,9 @@ def classify(question: str | None, answer: str | None, model: LanguageModel) ->
             return "refusal"
         if asked and model.differs(answer, asked):
             return "other_language"
-        ended = answer.rstrip().rstrip("\"'`*_)").endswith((".", "!", "?", "。"))
-        return "refusal" if ended and _IDS.search(answer) is None else "truncated"
+        if _IDS.search(answer) is not None:
+            return "truncated"
+        return "truncated" if parsed.cut and len(words) <= LABEL_WORDS and not _SENTENCE.search(answer) else NO_PATH
     if parsed.cut and not parsed.text_after.endswith((".", "!", "?", "。")):
         return "truncated"
     if asked and model.differs(" ".join(parsed.labels), asked):

@@ -12,7 +12,8 @@ from . import broken_pairs, group_topn, leakage, repetition, tokenize, vector_to
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective question-answer pairs with the type of their defect."""
     examples = broken_pairs.language_examples(table(spark, d, "documents"), "text", "lang")
-    return broken_pairs.broken_pairs(table(spark, d, "question_sheet"), examples)
+    found = broken_pairs.broken_pairs(table(spark, d, "question_sheet"), examples)
+    return found.filter(F.col("defect").isin(*broken_pairs.DEFECTS))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
