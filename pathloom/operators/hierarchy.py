@@ -1,12 +1,14 @@
 """Parent-child links to full hierarchies.
 
-Leaves are peeled bottom-up: a round takes every node without unpeeled
-children and sends its subtree size to its parent. Bushy trees lose most of
-their nodes in a few rounds. Once what is left has a checked bounded size one
-task peels the rest; where it is still large and rounds take off little (long
-chains, giant cycles), pointer doubling settles it in logarithmically many
-rounds. The reverse peel order then hands root, depth and path down again.
-What can never be peeled lies on a cycle.
+Rounds of bottom-up peeling. Every leaf sends the size of its subtree to its
+parent and goes. What remains of long chains would go one node a round, so a
+round also takes a share of the nodes that have one child left: the child
+takes over the node's size and id and hangs on the node's parent from then on.
+Each round takes off a constant share of any tree or cycle, so the rounds are
+logarithmic in the number of nodes whatever their shape. A cycle shrinks to a
+node that is its own parent and carries the cycle's smallest id. The reverse
+order of the rounds hands root, depth and path down again. The last
+``LOCAL_NODES`` nodes, a constant however large the whole, are done in one task.
 """
 
 from __future__ import annotations
@@ -17,16 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 
 # Relations that state the hierarchy.
 CHILD_OF, PARENT_OF = "P9104117", "P9107342"
-#: What is left is peeled in one task up to so many nodes.
-LOCAL_NODES = 100_000
-#: A round that peels less than this share of a larger rest is the last one.
-LEAST_SHARE = 0.1
+#: The rounds end when so few nodes are left; these are finished in one task.
+LOCAL_NODES = 1000
 
-_FINISHED = "node string, root string, depth int, path string, below bigint"
+_FINISHED = "node string, root string, depth int, path string, below bigint, ring boolean"
 
 
 def _clean(c: Column) -> Column:
@@ -44,232 +44,215 @@ def hierarchy_links(
     """Distinct ``(child, parent)`` links of both directions, ids trimmed and in upper case.
 
     Rows with a null or blank end and rows of other or null relations are no
-    links. If a child has several parents, the smallest in string order holds.
+    links. If a child has several parents, the smallest in string order holds
+    and ``other_parents`` gives the rest.
     """
+    stated = _stated(triples, head_col, relation_col, tail_col, child_of, parent_of)
+    return stated.groupBy("child").agg(F.min("parent").alias("parent"))
+
+
+def other_parents(triples: DataFrame, **names: str) -> DataFrame:
+    """Distinct ``(child, parent)`` links that ``hierarchy_links`` leaves out, as their child has a smaller parent too; parameters like there."""
+    columns = {"head_col": "head_id", "relation_col": "relation_id", "tail_col": "tail_id", "child_of": CHILD_OF, "parent_of": PARENT_OF}
+    return _stated(triples, **{**columns, **names}).distinct().join(hierarchy_links(triples, **names), ["child", "parent"], "left_anti")
+
+
+def _stated(triples: DataFrame, head_col: str, relation_col: str, tail_col: str, child_of: str, parent_of: str) -> DataFrame:
+    """Every ``(child, parent)`` that a row states."""
     head, tail = _clean(F.col(head_col)), _clean(F.col(tail_col))
     up = _clean(F.col(relation_col)) == child_of
     return (
         triples.filter(_clean(F.col(relation_col)).isin(child_of, parent_of))
         .select(F.when(up, head).otherwise(tail).alias("child"), F.when(up, tail).otherwise(head).alias("parent"))
         .filter("child is not null and parent is not null")
-        .groupBy("child")
-        .agg(F.min("parent").alias("parent"))
     )
 
 
 def _start(links: DataFrame) -> DataFrame:
-    """(node, parent, open, below): every id with its number of unpeeled children."""
+    """The state of every id before the first round.
+
+    ``open`` counts the children left, ``below`` the nodes known below. ``via``
+    and ``hops`` are the nodes taken out between a node and its present parent,
+    ``extra`` their number with all that hangs on them, ``low`` the smallest id
+    among the node and them.
+    """
     own = links.select(F.col("child").alias("node"), "parent", F.lit(0).cast("long").alias("open"))
     above = links.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("open"))
     above = above.select("node", F.lit(None).cast("string").alias("parent"), "open")
-    return (
-        own.unionByName(above)
-        .groupBy("node")
-        .agg(F.max("parent").alias("parent"), F.sum("open").alias("open"), F.lit(0).cast("long").alias("below"))
-    )
+    merged = own.unionByName(above).groupBy("node").agg(F.max("parent").alias("parent"), F.sum("open").alias("open"))
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    return merged.select("*", zero.alias("below"), zero.alias("extra"), none.alias("via"), F.lit(0).alias("hops"), F.col("node").alias("low"))
 
 
-def _peel(state: DataFrame) -> DataFrame:
-    """The nodes that remain when the leaves have sent their sizes upwards."""
-    sent = (
-        state.filter("open = 0 and parent is not null")
-        .groupBy(F.col("parent").alias("node"))
-        .agg(F.sum(F.col("below") + 1).alias("got"), F.count("*").alias("children"))
-    )
-    return (
-        state.filter("open > 0")
-        .join(sent, "node", "left")
-        .select(
-            "node",
-            "parent",
-            (F.col("open") - F.coalesce("children", F.lit(0))).alias("open"),
-            (F.col("below") + F.coalesce("got", F.lit(0))).alias("below"),
-        )
+_STATE = ("node", "parent", "open", "below", "extra", "via", "hops", "low")
+
+
+def _round(state: DataFrame, number: int) -> DataFrame:
+    """One round: the nodes with children after their leaves have gone.
+
+    Nodes with ``gone`` leave the tree between their child and their parent;
+    ``out`` of that child's row is what placing them again takes. Of two
+    neighbours at most one goes, by a coin that each round tosses anew.
+    """
+    leaves = state.filter("open = 0 and parent is not null")
+    sent = leaves.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("below") + 1 + F.col("extra")).alias("got"), F.count("*").alias("children"))
+    rest = state.filter("open > 0").join(sent, "node", "left")
+    rest = rest.withColumns(
+        {"open": F.col("open") - F.coalesce("children", F.lit(0)), "below": F.col("below") + F.coalesce("got", F.lit(0))}
+    ).drop("got", "children")
+    coin = lambda c: F.xxhash64(c, F.lit(number)).bitwiseAND(1)
+    gone = F.coalesce((F.col("open") == 1) & (F.col("parent") != F.col("node")) & (coin("node") == 1) & (coin("parent") == 0), F.lit(False))
+    rest = rest.withColumn("gone", gone)
+    c = rest.alias("c")
+    v = rest.filter("gone").select(F.col("node").alias("at"), F.struct(*_STATE).alias("v"))
+    joined = c.join(v, F.col("c.parent") == F.col("at"), "left")
+    out = F.when(F.col("at").isNotNull(), F.struct("v.node", "v.parent", "v.below", "v.via", "v.hops", F.col("c.node").alias("child"), F.col("c.extra").alias("between")))
+    return joined.select(
+        "c.node",
+        F.when(F.col("at").isNull(), F.col("c.parent")).otherwise(F.col("v.parent")).alias("parent"),
+        "c.open",
+        "c.below",
+        (F.col("c.extra") + F.coalesce(F.col("v.below") + 1 + F.col("v.extra"), F.lit(0))).alias("extra"),
+        F.when(F.col("at").isNull(), F.col("c.via")).otherwise(F.concat_ws("/", "v.via", "at", "c.via")).alias("via"),
+        (F.col("c.hops") + F.coalesce(F.col("v.hops") + 1, F.lit(0))).alias("hops"),
+        F.least("c.low", "v.low").alias("low"),
+        "c.gone",
+        out.alias("out"),
     )
 
 
 def _finish_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Peel a bounded rest to the end and assign root, depth and path from the top."""
-    parent: dict[str, str | None] = {}
-    below: dict[str, int] = {}
+    state: dict[str, dict] = {}
     for batch in batches:
-        for node, up, n in zip(batch["node"].to_pylist(), batch["parent"].to_pylist(), batch["below"].to_pylist()):
-            parent[node], below[node] = up, n
+        state.update((row["node"], row) for row in batch.to_pylist())
     children: dict[str, list[str]] = {}
-    for node, up in parent.items():
-        if up is not None:
-            children.setdefault(up, []).append(node)
-    unpeeled = {node: len(children.get(node, ())) for node in parent}
+    for node, row in state.items():
+        if row["parent"] is not None:
+            children.setdefault(row["parent"], []).append(node)
+    unpeeled = {node: len(children.get(node, ())) for node in state}
     order = [node for node, n in unpeeled.items() if n == 0]
     for node in order:  # grows while it is read
-        up = parent[node]
+        row = state[node]
+        up = row["parent"]
         if up is not None:
-            below[up] += below[node] + 1
+            state[up]["below"] += row["below"] + 1 + row["extra"]
             unpeeled[up] -= 1
             if unpeeled[up] == 0:
                 order.append(up)
     peeled = set(order)
-
-    rows: list[tuple] = []
+    rows: list[dict] = []
     size = 0
 
     def batch_of() -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
-        names = ["node", "root", "depth", "path", "below"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-    def walk(top: str, root: str, depth: int):
-        """The peeled nodes from ``top`` downwards; only the path to the current one is held."""
-        trail: list[str] = []
-        stack = [(top, 0)]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_())
+        names = ["node", "root", "depth", "path", "below", "ring"]
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
+
+    def placed(node: str, root: str, depth: int, path: str, ring: bool = False) -> dict:
+        return {"node": node, "root": root, "depth": depth, "path": path, "below": state[node]["below"], "ring": ring}
+
+    def walk(top: dict):
+        """The peeled nodes below ``top``; their paths are held only as far as they still wait."""
+        stack = [top]
         while stack:
-            node, level = stack.pop()
-            del trail[level:]
-            trail.append(node)
-            yield node, root, depth if depth < 0 else level, "" if depth < 0 else "/".join(trail), below[node]
-            stack.extend((c, level + 1) for c in children.get(node, ()) if c in peeled)
+            at = stack.pop()
+            yield at
+            for c in children.get(at["node"], ()):
+                if c in peeled:
+                    row = state[c]
+                    looped = at["depth"] < 0
+                    path = "" if looped else "/".join(x for x in (at["path"], row["via"], c) if x)
+                    stack.append(placed(c, at["root"], -1 if looped else at["depth"] + row["hops"] + 1, path))
 
     def results():
         for node in order:
-            if parent[node] is None:
-                yield from walk(node, node, 0)
+            if state[node]["parent"] is None:
+                yield from walk(placed(node, node, 0, node))
         done: set[str] = set()
-        for node in parent:
+        for node in state:
             if node in peeled or node in done:
                 continue
             ring = [node]
-            while parent[ring[-1]] != node:
-                ring.append(parent[ring[-1]])
+            while state[ring[-1]]["parent"] != node:
+                ring.append(state[ring[-1]]["parent"])
             done.update(ring)
-            root = min(ring)
-            total = sum(below[m] + 1 for m in ring)
+            root = min(state[m]["low"] for m in ring)
+            total = sum(state[m]["below"] + 1 + state[m]["extra"] for m in ring)
             for m in ring:
-                yield m, root, -1, "", total - 1
-                for c in children.get(m, ()):
-                    if c in peeled:
-                        yield from walk(c, root, -1)
+                state[m]["below"] = total - 1
+            for m in ring:
+                yield from walk(placed(m, root, -1, "", True))
 
     for row in results():
         rows.append(row)
-        size += len(row[3]) + 64
+        size += len(row["path"]) + 64
         if size > 8 << 20:
             yield batch_of()
             rows, size = [], 0
     yield batch_of()
 
 
-def _doubled(pointers: DataFrame, merge: dict[str, Column], carried: list[str]) -> DataFrame:
-    """One pointer-doubling step of (node, jump, ...): ``merge`` combines the columns of a node (a) and of its jump (b)."""
-    a, b = pointers.alias("a"), pointers.alias("b")
-    joined = a.join(b, F.col("a.jump") == F.col("b.node"), "left")
-    return joined.select(
-        "a.node", F.col("b.jump").alias("jump"), *[merge[c].alias(c) for c in carried]
-    )
-
-
-def _cycles(rest: DataFrame) -> DataFrame:
-    """(node, ring): every node of ``rest`` that lies on a cycle, and the smallest id of the cycle."""
-    jumps = cut(rest.select("node", F.col("parent").alias("jump")).filter("jump is not null"))
-    last, reach = -1, 1
-    total = jumps.count()
-    while True:
-        alive = jumps.count()
-        if alive == 0 or (alive == last and reach >= total):
-            break
-        last = alive
-        jumps = cut(_doubled(jumps, {}, []).filter("jump is not null"))
-        reach *= 2
-    on = jumps.select(F.col("jump").alias("node")).distinct()
-    ring = cut(
-        rest.join(on, "node", "left_semi").select("node", F.col("parent").alias("jump"), F.least("node", "parent").alias("ring"))
-    )
-    while True:
-        more = cut(_doubled(ring, {"ring": F.least("a.ring", "b.ring")}, ["ring"]))
-        changed = more.alias("x").join(ring.alias("y"), "node").filter("x.ring <> y.ring").limit(1).count()
-        ring = more
-        if not changed:
-            return ring.select("node", "ring")
-
-
-def _finish_by_doubling(rest: DataFrame) -> DataFrame:
-    """Root, depth, path and size of a large rest, in logarithmically many rounds."""
-    rings = _cycles(rest)
-    hung = rest.join(rings, "node", "left_anti").join(
-        rings.select(F.col("node").alias("parent"), "ring"), "parent", "left"
-    )
-    tree = cut(hung.withColumn("jump", F.when(F.col("ring").isNull(), F.col("parent"))).withColumn("path", F.col("node")))
-    keep = ["parent", "below", "ring", "path"]
-    merge = {
-        "parent": F.col("a.parent"),
-        "below": F.col("a.below"),
-        "ring": F.coalesce("a.ring", "b.ring"),
-        "path": F.when(F.col("b.node").isNull(), F.col("a.path")).otherwise(F.concat_ws("/", "b.path", "a.path")),
-    }
-    tree = tree.select("node", "jump", *keep)
-    while tree.filter("jump is not null").limit(1).count():
-        tree = cut(_doubled(tree, merge, keep))
-    ids = F.split("path", "/")
-    from_below = (
-        tree.select(F.explode(F.slice(ids, 1, F.size(ids) - 1)).alias("node"), (F.col("below") + 1).alias("w"))
-        .groupBy("node")
-        .agg(F.sum("w").alias("w"))
-    )
-    settled = tree.join(from_below, "node", "left").select(
+def _placed(level: DataFrame, done: DataFrame, spliced: bool) -> DataFrame:
+    """Nodes of one round under their parents in ``done``; ``spliced`` ones lie between such a parent and their child."""
+    top = done.select(F.col("node").alias("parent"), "root", F.col("depth").alias("d"), F.col("path").alias("above"))
+    below, ring = F.col("below"), F.lit(False)
+    if spliced:
+        child = done.select(F.col("node").alias("child"), F.col("below").alias("under"), F.col("ring").alias("on_ring"))
+        level = level.join(child, "child")
+        below = F.when(F.col("on_ring"), F.col("under")).otherwise(F.col("below") + 1 + F.col("between") + F.col("under"))
+        ring = F.col("on_ring")
+    in_tree = F.col("d") >= 0
+    return level.join(top, "parent").select(
         "node",
-        F.coalesce("ring", ids[0]).alias("root"),
-        F.when(F.col("ring").isNull(), F.size(ids) - 1).otherwise(-1).cast("int").alias("depth"),
-        F.when(F.col("ring").isNull(), F.col("path")).otherwise("").alias("path"),
-        (F.col("below") + F.coalesce("w", F.lit(0))).alias("below"),
+        "root",
+        F.when(in_tree, F.col("d") + F.col("hops") + 1).otherwise(-1).cast("int").alias("depth"),
+        F.when(in_tree, F.concat_ws("/", "above", "via", "node")).otherwise("").alias("path"),
+        below.alias("below"),
+        ring.alias("ring"),
     )
-    weights = tree.filter("ring is not null").select("ring", "below").unionByName(
-        rest.join(rings, "node").select("ring", "below")
-    )
-    totals = weights.groupBy("ring").agg((F.sum(F.col("below") + 1) - 1).alias("below"))
-    around = rings.join(totals, "ring").select(
-        "node", F.col("ring").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), "below"
-    )
-    return settled.unionByName(around)
 
 
-def build_hierarchy(links: DataFrame, local_nodes: int = LOCAL_NODES, least_share: float = LEAST_SHARE) -> DataFrame:
+def build_hierarchy(links: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """``(node_id, root_id, depth, node_path, n_descendants)`` of every id in ``(child, parent)`` links.
 
     Nodes on or below a cycle (a self-link is one) have the cycle's smallest
     id as root, depth -1 and the empty path. ``n_descendants`` counts the
-    distinct other nodes below. No links give no rows. ``local_nodes`` bounds
-    the rest one task may take, whatever the size of the whole.
+    distinct other nodes below. No links give no rows. A child must have one
+    parent, as ``hierarchy_links`` sees to. ``local_nodes`` bounds the rest one
+    task may take; with 0 the rounds go on to the end.
     """
-    state = cut(_start(links))
-    peeled: list[DataFrame] = []
-    total = state.count()
-    while total > local_nodes:
-        leaves = state.filter("open = 0").count()
-        if leaves < least_share * total:
+    state = written(_start(links))
+    rounds: list[tuple[DataFrame, DataFrame]] = []  # leaves and spliced nodes of each round
+    finished = "parent is null and open = 0 or parent = node and open = 1"
+    while True:
+        left = state.agg(F.count("*").alias("n"), F.count_if(F.expr(finished)).alias("over")).first()
+        if left["n"] <= local_nodes or left["n"] == left["over"]:
             break
-        peeled.append(state.filter("open = 0"))
-        state = cut(_peel(state))
-        total -= leaves
-    if total <= local_nodes:
-        columns = state.select("node", "parent", "below").coalesce(1)
-        done = columns.mapInArrow(_finish_locally, _FINISHED)
+        after = written(_round(state, len(rounds)))
+        rounds.append((state.filter("open = 0"), after.filter("out is not null").select("out.*")))
+        state = after.filter("not gone").select(*_STATE)
+    if left["n"] <= local_nodes:
+        done = state.coalesce(1).mapInArrow(_finish_locally, _FINISHED)
     else:
-        done = _finish_by_doubling(state)
-    if peeled:
-        done = cut(done)
-    for level in reversed(peeled):
-        top = done.select(F.col("node").alias("parent"), "root", "depth", F.col("path").alias("above"))
-        placed = level.join(top, "parent", "left").select(
+        tree = F.col("parent").isNull()
+        done = state.select(
             "node",
-            F.coalesce("root", "node").alias("root"),
-            F.when(F.col("parent").isNull(), 0).when(F.col("depth") < 0, -1).otherwise(F.col("depth") + 1).cast("int").alias("depth"),
-            F.when(F.col("parent").isNull(), F.col("node"))
-            .when(F.col("depth") < 0, "")
-            .otherwise(F.concat_ws("/", "above", "node"))
-            .alias("path"),
-            "below",
+            F.when(tree, F.col("node")).otherwise(F.col("low")).alias("root"),
+            F.when(tree, 0).otherwise(-1).cast("int").alias("depth"),
+            F.when(tree, F.col("node")).otherwise("").alias("path"),
+            (F.col("below") + F.col("extra")).alias("below"),
+            (~tree).alias("ring"),
+        )
+    if rounds:
+        done = written(done)
+    for n, (leaves, spliced) in enumerate(reversed(rounds)):
+        done = done.unionByName(written(_placed(spliced, done, True)))
+        tops = leaves.filter("parent is null").select(
+            "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").alias("path"), "below", F.lit(False).alias("ring")
         )
-        done = done.unionByName(cut(placed) if level is not peeled[0] else placed)
+        placed = _placed(leaves, done, False).unionByName(tops)
+        done = done.unionByName(placed if n == len(rounds) - 1 else written(placed))
     return done.select(
         F.col("node").alias("node_id"),
         F.col("root").alias("root_id"),
