@@ -1,166 +1,186 @@
 """Deeply nested records of changing shape to related flat tables.
 
-A record's JSON is decoded once and laid out as one nested Arrow list array
-(question, raw paths, steps) in its canonical shape. From there on no row is
-touched: each level is flattened by its list offsets, parent-index kernels say
-which parent an element has, and the parents' keys reach the children by
-vectorised take.
+The JSON is brought into one canonical nested array (question, raw paths,
+steps) by built-in expressions, level by level: an element is kept as the text
+of its JSON until its own level is read, so it may have any shape, and may be
+JSON text within JSON text. The array reaches Python as Arrow buffers. There
+each level is flattened by its list offsets, parent-index kernels say which
+parent an element has, and the parents' keys reach the children by vectorised
+take; no value is visited by itself.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import storable
-
 # The kinds of a path's steps.
 STEP_KINDS = ("entity", "predicate")
-#: JSON text within JSON text is decoded down to this depth.
-ENCODED_DEPTH = 4
-#: Runs laid out in one nested array, so that a worker holds few decoded records.
-SLICE_RUNS = 128
-
-
-def decode(text):
-    """The value of JSON text, also where it was encoded repeatedly; None for what is no JSON."""
-    value = text
-    for _ in range(ENCODED_DEPTH):
-        if not isinstance(value, str):
-            return value
-        try:
-            value = json.loads(value)
-        except ValueError:
-            return None
-    return None if isinstance(value, str) else value
-
-
-def find_number(value, name: str) -> int | None:
-    """The whole number under ``name`` at the shallowest level that has one; text that spells a number counts."""
-    level = [value]
-    while level:
-        below = []
-        for v in level:
-            if isinstance(v, dict):
-                got = v.get(name)
-                if isinstance(got, str):
-                    got = got.strip()
-                    got = int(got) if got.lstrip("+-").isdecimal() else None
-                if isinstance(got, (int, float)) and not isinstance(got, bool) and got == got // 1:
-                    return int(got)
-                below += v.values()
-            elif isinstance(v, list):
-                below += v
-        level = [v for v in below if isinstance(v, (dict, list))]
-    return None
-
-
-def _step(value) -> tuple[str, str] | None:
-    """(kind, id) of a step, whichever way it is written."""
-    if isinstance(value, list):
-        if len(value) >= 2 and isinstance(value[0], str) and value[0].strip().lower() in STEP_KINDS:
-            member = value[1].get("id") if isinstance(value[1], dict) else value[1]
-            return (value[0].strip().lower(), member) if isinstance(member, str) else None
-        return None
-    if isinstance(value, dict):
-        kind = value.get("kind")
-        holder = value.get("ref") if isinstance(value.get("ref"), dict) else value
-        member = holder.get("id")
-        if isinstance(kind, str) and kind.strip().lower() in STEP_KINDS and isinstance(member, str):
-            return kind.strip().lower(), member
-        if kind is None and len(value) == 1:
-            ((kind, member),) = value.items()
-            if kind.strip().lower() in STEP_KINDS and isinstance(member, str):
-                return kind.strip().lower(), member
-    return None
-
-
-def _items(value) -> list:
-    """Elements of a list, values of a map, a single value by itself."""
-    if value is None:
-        return []
-    if isinstance(value, list):
-        return value
-    return list(value.values()) if isinstance(value, dict) else [value]
-
-
-def raw_paths(value) -> list[list[tuple[str, str]]]:
-    """Paths of (kind, id) steps: a list or map of paths, one path alone, or either as JSON text."""
-    if isinstance(value, str):
-        value = decode(value)
-    if value is None or not isinstance(value, (list, dict)):
-        return []
-    if _step(value):
-        return [[_step(value)]]
-    elements = _items(value)
-    if any(_step(e) for e in elements):
-        elements = [elements]
-    paths = []
-    for e in elements:
-        e = decode(e) if isinstance(e, str) else e
-        if isinstance(e, (list, dict)):
-            paths.append([s for s in map(_step, [e] if _step(e) else _items(e)) if s])
-    return paths
-
-
-def questions(value) -> list[tuple[str, list]]:
+#: Room for any depth and length; the parser's own bounds would drop whole records. Text of an element is limited to
+#: 1,000 levels all the same, so records deeper than that are read by the names that are asked for alone.
+_OPTIONS = {"maxNestingDepth": "1000000", "maxStringLen": "2147483647", "maxNumLen": "1000000", "allowNumericLeadingZeros": "false"}
+_LIST, _MAP = "array<string>", "map<string,string>"
+_STEPS = "array<struct<kind:string,id:string>>"
+_RECORD = "struct<question_id:string,raw_paths:string>"
+_QUESTIONS = f"array<struct<question_id:string,raw_paths:array<{_STEPS}>>>"
+
+
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _elements(text: Column) -> Column:
+    """The elements of a JSON list, as text; null for any other text."""
+    return F.when(text.startswith("["), F.from_json(text, _LIST, _OPTIONS))
+
+
+def _members(text: Column) -> Column:
+    """The members of a JSON map by name, as text; null for any other text."""
+    return F.when(text.startswith("{"), F.from_json(text, _MAP, _OPTIONS))
+
+
+def _record(text: Column) -> Column:
+    """What a record is read for; null for text that is no JSON map."""
+    return F.when(text.startswith("{"), F.from_json(text, _RECORD, _OPTIONS))
+
+
+def _items(text: Column) -> Column:
+    """Elements of a list, or values of a map."""
+    return F.coalesce(_elements(text), F.map_values(_members(text)))
+
+
+def _repeat(value: Column, times: Column, step) -> Column:
+    """``step`` applied to ``value`` so many times."""
+    return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), times), value, lambda v, _: step(v))).otherwise(value)
+
+
+def decoded(text: Column) -> Column:
+    """The text of a JSON list or map, also where it was encoded repeatedly; null for anything else.
+
+    Text encoded n times starts with n quotation marks, each behind twice as
+    many backslashes and one as the one before, so the run it starts with
+    bounds n.
+    """
+    trim = lambda t: F.trim(t, F.lit(" \t\r\n"))
+    whole = F.regexp_replace(text, r"(\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\+u[dD][c-fC-F]))|((?<!\\u[dD][89abAB][0-9a-fA-F]{2})(?<!\\u[dD][89abAB][0-9a-fA-F]{2}\\)\\u[dD][c-fC-F][0-9a-fA-F]{2})", r"\\ufffd")
+    whole = F.when(text.rlike(r"\\u[dD][89a-fA-F]"), whole).otherwise(text)  # lone surrogate halves
+
+    def once(t: Column) -> Column:
+        inner = F.from_json(F.concat(F.lit("["), t, F.lit("]")), _LIST, _OPTIONS)
+        return F.when(t.startswith('"'), _let(inner, lambda a: F.when(F.size(a) == 1, trim(a[0])))).otherwise(t)
+
+    run = F.length(F.regexp_extract(trim(text), r'^["\\]*', 0))
+    depth = F.when(run > 0, F.ceil(F.log2(run.cast("double") + 1)).cast("int")).otherwise(0)
+    return _let(_repeat(trim(whole), depth, once), lambda t: F.when(t.startswith("[") | t.startswith("{"), t))
+
+
+def _known_kind(kind: Column) -> Column:
+    return _let(F.lower(F.trim(kind)), lambda k: F.when(k.isin(*STEP_KINDS), k))
+
+
+def step_of(text: Column) -> Column:
+    """(kind, id) of a step, whichever way it is written; null if it is none."""
+
+    def pair(kind: Column, member: Column) -> Column:
+        step = F.struct(_known_kind(kind).alias("kind"), member.alias("id"))
+        return _let(step, lambda s: F.when(s["kind"].isNotNull() & s["id"].isNotNull(), s))
+
+    def named(text: Column) -> Column:
+        """An id, or the id of a map that holds one."""
+        return F.when(text.startswith("{"), _members(text)["id"]).otherwise(text)
+
+    def of_map(m: Column) -> Column:
+        member = F.coalesce(_members(m["ref"])["id"], m["id"])
+        single = F.when(F.size(m) == 1, pair(F.map_keys(m)[0], F.map_values(m)[0]))
+        return F.when(F.array_contains(F.map_keys(m), "kind"), pair(m["kind"], member)).otherwise(single)
+
+    listed = _let(_elements(text), lambda a: F.when(F.size(a) >= 2, pair(a[0], named(a[1]))))
+    return F.when(text.startswith("["), listed).when(text.startswith("{"), _let(_members(text), of_map))
+
+
+def raw_paths(text: Column) -> Column:
+    """Paths of (kind, id) steps: a list or map of paths, one path alone, one step alone, or any of them as JSON text."""
+
+    def steps(items: Column) -> Column:
+        return F.filter(F.transform(items, lambda e: step_of(_as_text(e))), lambda s: s.isNotNull())
+
+    def path(e: Column) -> Column:
+        return _let(step_of(e), lambda s: F.when(s.isNotNull(), F.array(s)).otherwise(F.coalesce(steps(_items(e)), F.array().cast(_STEPS))))
+
+    def paths(items: Column) -> Column:
+        """Each element is a path; what is no list and no map is none."""
+        return F.transform(F.filter(F.transform(items, decoded), lambda e: e.isNotNull()), path)
+
+    def of_items(items: Column) -> Column:
+        single = _let(steps(items), lambda s: F.when(F.size(s) > 0, F.array(s)))
+        return F.coalesce(single, paths(items))
+
+    def of_text(t: Column) -> Column:
+        return _let(step_of(t), lambda s: F.when(s.isNotNull(), F.array(F.array(s))).otherwise(_let(_items(t), of_items)))
+
+    return F.coalesce(_let(decoded(text), of_text), F.array().cast(f"array<{_STEPS}>"))
+
+
+def _as_text(e: Column) -> Column:
+    return F.trim(e, F.lit(" \t\r\n"))
+
+
+def questions(text: Column) -> Column:
     """(question id, raw paths) of a run's results: a list of records, or a map by question id, also under ``results``."""
-    value = decode(value)
-    for _ in range(ENCODED_DEPTH):
-        if isinstance(value, dict) and "results" in value:
-            value = decode(value["results"]) if isinstance(value["results"], str) else value["results"]
-    if isinstance(value, dict):
-        if isinstance(value.get("question_id"), str):
-            pairs = [(None, value)]
-        else:
-            pairs = list(value.items())
-    else:
-        pairs = [(None, v) for v in value or []] if isinstance(value, list) else []
-    out = []
-    for key, record in pairs:
-        record = decode(record) if isinstance(record, str) else record
-        if isinstance(record, dict):
-            question = record.get("question_id", key)
-            out.append((question if isinstance(question, str) else key, raw_paths(record.get("raw_paths"))))
-    return out
-
-
-@dataclass
-class RunBuffers:
-    """Values and list offsets of a batch of runs, level by level."""
-
-    question_ids: list = field(default_factory=list)
-    kinds: list = field(default_factory=list)
-    members: list = field(default_factory=list)
-    runs: list = field(default_factory=lambda: [0])
-    paths: list = field(default_factory=lambda: [0])
-    steps: list = field(default_factory=lambda: [0])
-
-    def add(self, run: list[tuple[str, list]]) -> None:
-        for question, found in run:
-            self.question_ids.append(question and storable(question))
-            for path in found:
-                for kind, member in path:
-                    self.kinds.append(kind)
-                    self.members.append(storable(member))
-                self.steps.append(len(self.kinds))
-            self.paths.append(len(self.steps) - 1)
-        self.runs.append(len(self.question_ids))
-
-    def array(self) -> pa.ListArray:
-        """One nested list array, an element per run."""
-        step = pa.StructArray.from_arrays([pa.array(self.kinds, pa.string()), pa.array(self.members, pa.string())], ["kind", "id"])
-        path = pa.ListArray.from_arrays(pa.array(self.steps, pa.int32()), step)
-        raw = pa.ListArray.from_arrays(pa.array(self.paths, pa.int32()), path)
-        question = pa.StructArray.from_arrays([pa.array(self.question_ids, pa.string()), raw], ["question_id", "raw_paths"])
-        return pa.ListArray.from_arrays(pa.array(self.runs, pa.int32()), question)
+    record = lambda q, r: F.struct(q.alias("question_id"), raw_paths(r["raw_paths"]).alias("raw_paths"))
+
+    def within(t: Column) -> Column:
+        return _let(_members(t), lambda m: F.when(F.array_contains(F.map_keys(m), "results"), decoded(m["results"])).otherwise(t))
+
+    def of_records(entries: Column) -> Column:
+        """From (key, text) entries; what is no map is no record."""
+        read = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _record(decoded(e["value"])).alias("r")))
+        return of_read(read)
+
+    def of_read(entries: Column) -> Column:
+        sound = F.filter(entries, lambda e: e["r"].isNotNull())
+        return F.transform(sound, lambda e: record(F.coalesce(e["r"]["question_id"], e["key"]), e["r"]))
+
+    def keyed(typed: Column) -> Column:
+        return F.transform(typed, lambda r: F.struct(F.lit(None).cast("string").alias("key"), r.alias("r")))
+
+    def of_list(t: Column) -> Column:
+        listed = F.transform(_elements(t), lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value")))
+        return F.coalesce(of_records(listed), of_read(keyed(F.from_json(t, f"array<{_RECORD}>", _OPTIONS))))
+
+    def of_map(t: Column, m: Column) -> Column:
+        typed = F.map_entries(F.from_json(t, f"map<string,{_RECORD}>", _OPTIONS))
+        entries = F.transform(typed, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("r")))
+        several = F.coalesce(of_records(F.map_entries(m)), of_read(entries))
+        return _let(_record(t), lambda r: F.when(r["question_id"].isNotNull(), F.array(record(r["question_id"], r))).otherwise(several))
+
+    def of_text(t: Column) -> Column:
+        return F.when(t.startswith("["), of_list(t)).otherwise(_let(_members(t), lambda m: of_map(t, m)))
+
+    depth = F.size(F.split(text, '"results')) - 1  # each level under that name writes it once
+    return F.coalesce(_let(_repeat(decoded(text), depth, within), of_text), F.array().cast(_QUESTIONS))
+
+
+def find_number(text: Column, name: str) -> Column:
+    """The whole number under ``name`` at the shallowest level of JSON text that has one, as int; text that spells a number counts."""
+
+    whole = lambda t: _let(F.trim(t).try_cast("double"), lambda x: F.when((x == F.floor(x)) & (F.abs(x) < 2.0**31), x.cast("int")))
+    state = F.struct(F.lit(None).cast("int").alias("found"), F.array(decoded(text)).alias("level"))
+
+    def down(s: Column) -> Column:
+        maps = F.transform(s["level"], _members)
+        found = F.filter(F.transform(maps, lambda m: whole(m[name])), lambda x: x.isNotNull())
+        below = F.filter(F.flatten(F.transform(s["level"], lambda t: F.coalesce(_items(t), F.array().cast(_LIST)))), lambda t: t.startswith("[") | t.startswith("{"))
+        return F.when(s["found"].isNotNull() | (F.size(s["level"]) == 0), s).otherwise(F.struct(F.get(found, F.lit(0)).alias("found"), below.alias("level")))
+
+    depth = F.length(text) - F.length(F.regexp_replace(text, r"[\[{]", ""))  # as many levels as brackets, mostly fewer
+    return _repeat(state, depth, down)["found"]
 
 
 def flatten(lists: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -182,16 +202,10 @@ LEVELS = {
 
 def _flat_rows(level: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE_RUNS) for b in batches for i in range(0, b.num_rows, SLICE_RUNS)):
-            buffers = RunBuffers()
-            hops = []
-            for metadata, results in zip(batch.column(1), batch.column(2)):
-                hops.append(-1 if (n := find_number(decode(metadata.as_py()), "max_hops")) is None else n)
-                buffers.add(questions(results.as_py()))
-            keys = {"run_id": batch.column(0), "max_hops": pa.array(hops, pa.int32())}
-            if level != "runs":
-                question, parent, no = flatten(buffers.array())
-                keys = {k: v.take(parent) for k, v in keys.items()} | {"question_no": no, "question_id": question.field("question_id")}
+        for batch in batches:
+            keys = {"run_id": batch.column(0), "max_hops": batch.column(1)}
+            question, parent, no = flatten(batch.column(2))
+            keys = {k: v.take(parent) for k, v in keys.items()} | {"question_no": no, "question_id": question.field("question_id")}
             if level in ("paths", "steps"):
                 path, parent, no = flatten(question.field("raw_paths"))
                 keys = {k: v.take(parent) for k, v in keys.items()} | {"path_no": no}
@@ -210,12 +224,18 @@ def flatten_runs(
 ) -> DataFrame:
     """The flat table of one level (see ``LEVELS``), each row distinct.
 
-    Null, empty and broken JSON gives no children; a run without the number
-    has ``max_hops`` -1; questions without raw paths give no paths and no
-    steps; what is neither entity nor predicate is no step. Runs repeated with
-    the same content come out once. Other columns are pruned from the scan.
+    Null, empty and broken JSON gives no children; a run without the number,
+    or with one no int holds, has ``max_hops`` -1; questions without raw paths
+    give no paths and no steps; what is neither entity nor predicate is no
+    step, ids that are numbers count as their text. JSON text within JSON text
+    is read however often it was encoded. Runs repeated with the same content
+    come out once. Other columns are pruned from the scan.
     """
     if level not in LEVELS:
         raise ValueError(f"unknown level {level!r}, expected one of {sorted(LEVELS)}")
-    narrow = runs.select(F.col(id_col).cast("long").alias("run_id"), F.col(metadata_col), F.col(results_col))
-    return narrow.mapInArrow(_flat_rows(level), LEVELS[level]).distinct()
+    hops = F.coalesce(find_number(F.col(metadata_col), "max_hops"), F.lit(-1)).alias("max_hops")
+    narrow = runs.select(F.col(id_col).cast("long").alias("run_id"), hops, F.col(results_col).alias("results"))
+    if level == "runs":
+        return narrow.select("run_id", "max_hops").distinct()
+    nested = narrow.distinct().select("run_id", "max_hops", questions(F.col("results")).alias("questions"))
+    return nested.mapInArrow(_flat_rows(level), LEVELS[level]).distinct()
