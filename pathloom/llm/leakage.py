@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PASSAGE_WORDS = 12
-RADIUS = 3
+#: Bits two fingerprints may differ in: of equal windows none; of windows alike to 0.8 nearly all are within ``NEAR_RADIUS``.
+RADIUS, NEAR_RADIUS = 3, 8
 SHINGLE_WORDS = 5
-#: Item text indexed at once. A larger item set is searched in slices of this size, each with a pass of its own.
-SLICE_BYTES = 16 << 20
+#: Bytes of index held at once, and what an item's word takes in it at most. A larger item set is searched in slices of
+#: this size, each with a pass of its own.
+SLICE_BYTES, WORD_BYTES = 64 << 20, 64
 #: Word positions fingerprinted at once, and remembered words of a worker.
 CHUNK_WORDS, VOCABULARY_WORDS = 1 << 15, 500_000
 
@@ -68,35 +70,87 @@ def simhashes(signs: np.ndarray, window: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64).ravel()
 
 
+def _hashes(numbers: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``window`` rows of word hashes: a polynomial in an odd factor, modulo 2**64."""
+    factor = np.uint64(seed | 1)
+    out = np.zeros(len(numbers) - window + 1, dtype=np.uint64)
+    for k in range(window):
+        out = out * factor + numbers[k : k + len(out)]
+    return out
+
+
 class PassageIndex:
-    """Item windows by Hamming block."""
+    """Distinct windows of items by Hamming block, as arrays.
+
+    A window takes about 50 bytes: its fingerprint, where its words stand, its
+    place and value in each block and its owners; the words of the items stand
+    once, as numbers of distinct words. Windows are told apart by two 64-bit
+    hashes.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], window: int, radius: int):
         self.window, self.radius = window, radius
-        owners: dict[tuple[str, ...], set[int]] = {}
+        vocabulary = Vocabulary()
+        numbers, owner, first = [], [], []
+        at = 0
         for item, text in items:
             w = words(text)
-            for i in range(len(w) - window + 1):
-                owners.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.windows = list(owners)
-        self.owners = [tuple(sorted(owners[w])) for w in self.windows]
-        self.weights = Counter(s for w in self.windows for s in set(shingles(w)))
-        vocabulary = Vocabulary()
-        numbers = [vocabulary.numbers(list(w)) for w in self.windows]
-        self.prints = np.array([simhashes(vocabulary.signs[n], window)[0] for n in numbers], dtype=np.uint64)
+            if len(w) >= window:
+                numbers.append(vocabulary.numbers(w))
+                owner.append(np.full(len(w) - window + 1, item, dtype=np.int64))
+                first.append(np.arange(at, at + len(w) - window + 1))
+                at += len(w)
+        self.names = list(vocabulary.number)
+        self.numbers = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int32)
+        owner = np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)
+        first = np.concatenate(first) if first else np.zeros(0, dtype=np.int64)
+        self.texts = np.cumsum([0, *map(len, numbers)])
+        self.weights: Counter | None = None
+        if not len(owner):
+            self.prints, self.blocks = np.zeros(0, dtype=np.uint64), []
+            return
+        words_ = np.array([xxhash.xxh64_intdigest(w, 1) for w in self.names], dtype=np.uint64)[self.numbers]
+        one, two = (_hashes(words_, window, seed)[first] for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+        order = np.lexsort((owner, two, one))
+        one, two, owner, first = one[order], two[order], owner[order], first[order]
+        fresh = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        kept = fresh | np.r_[True, owner[1:] != owner[:-1]]  # an item owns a window once
+        self.start = first[fresh].astype(np.int32 if at < 2**31 else np.int64)
+        group = np.cumsum(fresh)[kept] - 1
+        self.owned = owner[kept]
+        self.offsets = np.searchsorted(group, np.arange(len(self.start) + 1)).astype(np.int64)
+        # in parts that overlap by a window, so that one part's sign vectors fit in memory
+        parts = (self.numbers[i : i + CHUNK_WORDS + window - 1] for i in range(0, at - window + 1, CHUNK_WORDS))
+        self.prints = np.concatenate([simhashes(vocabulary.signs[part], window) for part in parts])[self.start]
         cuts = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = []
         for low, high in zip(cuts[:-1], cuts[1:]):
             mask = np.uint64((1 << int(high - low)) - 1)
             values = (self.prints >> np.uint64(low)) & mask
             order = np.argsort(values, kind="stable").astype(np.int32)
-            self.blocks.append((np.uint64(low), mask, values[order], order))
+            values = values[order].astype(np.uint16 if high - low <= 16 else np.uint32 if high - low <= 32 else np.uint64)
+            self.blocks.append((np.uint64(low), mask, values, order))
+
+    def __len__(self) -> int:
+        return len(self.prints)
+
+    def owners(self, which: int) -> np.ndarray:
+        return self.owned[self.offsets[which] : self.offsets[which + 1]]
+
+    def words_of(self, which: int) -> tuple[str, ...]:
+        at = self.start[which]
+        return tuple(self.names[n] for n in self.numbers[at : at + self.window])
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays and of the distinct words."""
+        arrays = (self.numbers, self.start, self.owned, self.offsets, self.prints, *(x for b in self.blocks for x in b[2:]))
+        return sum(a.nbytes for a in arrays) + sum(len(w) + 57 for w in self.names)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``prints`` and index windows within the radius of each other."""
         found_at, found = [], []
         for low, mask, values, order in self.blocks:
-            own = (prints >> low) & mask
+            own = ((prints >> low) & mask).astype(values.dtype)
             distinct, inverse = np.unique(own, return_inverse=True)
             first = np.searchsorted(values, distinct, "left")[inverse]
             count = np.searchsorted(values, distinct, "right")[inverse] - first
@@ -112,10 +166,16 @@ class PassageIndex:
         return pairs[:, 0], pairs[:, 1]
 
     def similarity(self, own: tuple[str, ...], which: int) -> float:
-        """Weighted Jaccard of the word shingles of a window and an indexed one; 1 only for equal windows."""
-        theirs = self.windows[which]
+        """Weighted Jaccard of the word shingles of a window and an indexed one; 1 only for equal windows.
+
+        A shingle weighs less the more items of the index hold it.
+        """
+        theirs = self.words_of(which)
         if own == theirs:
             return 1.0
+        if self.weights is None:
+            texts = (tuple(self.names[n] for n in self.numbers[low:high]) for low, high in zip(self.texts[:-1], self.texts[1:]))
+            self.weights = Counter(s for text in texts for s in set(shingles(text)))
         a, b = Counter(shingles(own)), Counter(shingles(theirs))
         weight = lambda s: 1.0 / self.weights.get(s, 1)
         both = sum(weight(s) * n for s, n in (a & b).items())
@@ -156,9 +216,11 @@ def _search(index: PassageIndex, min_similarity: float):
                     at, which = passages.candidates(prints[whole])
                     for i, j in zip(whole[at].tolist(), which.tolist()):
                         doc = int(first[i])
-                        fresh = [item for item in passages.owners[j] if (doc, item) not in pairs]
+                        fresh = [item for item in passages.owners(j).tolist() if (doc, item) not in pairs]
+                        if not fresh:
+                            continue
                         own = tuple(tokens[start + i : start + i + at_least])
-                        if fresh and passages.similarity(own, j) >= min_similarity:
+                        if own == passages.words_of(j) or min_similarity < 1 and passages.similarity(own, j) >= min_similarity:
                             pairs.update((doc, item) for item in fresh)
             rows = sorted(pairs)
             yield pa.RecordBatch.from_arrays(
@@ -180,7 +242,7 @@ def leaked_items(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = PASSAGE_WORDS,
-    radius: int = RADIUS,
+    radius: int | None = None,
     min_similarity: float = 1.0,
     slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
@@ -190,23 +252,25 @@ def leaked_items(
     text all come out; item ids must be integers and rows without one are
     ignored. Extra columns, clashing names included, are pruned. With
     ``min_similarity`` below 1 near-equal windows within the SimHash radius
-    count too. The items of one slice (at most ``slice_bytes`` of text, unless
+    (``NEAR_RADIUS`` where none is given) count too. The items of one slice (an index of about ``slice_bytes``, unless
     one item alone is longer) are indexed on the driver and broadcast; more
     items mean more slices, not larger ones.
     """
     spark = docs.sparkSession
+    radius = radius if radius is not None else RADIUS if min_similarity >= 1 else NEAR_RADIUS
     items = items.select(
         F.col(item_id_col).cast("long").alias("item"), F.col(item_text_col).alias("text")
     ).filter("item is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, -(-int(total) // slice_bytes))
+    count = F.size(F.split("text", r"[^\p{L}\p{N}]+"))
+    total = items.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    slices = max(1, -(-int(total) * WORD_BYTES // slice_bytes))
     key_type = docs.schema[id_col].dataType.simpleString()
     corpus = docs.select(F.col(id_col).alias("doc"), F.col(text_col)).filter(F.col(text_col).isNotNull())
     found = None
     for k in range(slices):
         part = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
         index = PassageIndex([tuple(r) for r in part.collect()], window, radius)
-        if not index.windows:
+        if not len(index):
             continue
         shared = spark.sparkContext.broadcast(index)
         hits = corpus.mapInArrow(_search(shared, min_similarity), f"doc {key_type}, item bigint")
