@@ -15,6 +15,7 @@ another.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,15 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Candidates a cell should have, the most cells, and the cells each vector is compared with.
-CELL_ROWS, MOST_CELLS, PROBES = 1500, 4096, 8
-#: Rows of the sample that places the centroids, per cell: at most ``SAMPLE_PER_CELL * MOST_CELLS`` (16 MB) reach the driver.
-SAMPLE_PER_CELL = 16
+#: Candidates a cell should have, and the cells each vector is compared with.
+CELL_ROWS, PROBES = 1500, 8
+#: Up to so many cells grow in number with the candidates, beyond that with the square root of their number, and in size
+#: likewise; so the work grows with the power 1.5 of the vectors, for placing them and for the tiles alike.
+FIRST_CELLS = 4096
+#: Rows of the sample that places the centroids, per cell, and in all (64 MB that reach the driver).
+SAMPLE_PER_CELL, SAMPLE_ROWS = 16, 1 << 18
+#: Numbers of a matrix of some vectors by all cells.
+MATRIX = 1 << 21
 #: Most rows of either side of a tile, and query rows multiplied at once.
 TILE_CANDIDATES, TILE_QUERIES, CHUNK_QUERIES = 8192, 16384, 512
 #: Room for the rounding of single-precision sums, in cosine.
@@ -69,17 +75,26 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray
     c = x[:cells].copy()
     for _ in range(rounds):
         own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
         sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
+        sums[own[order][first]] = np.add.reduceat(x[order], first, axis=0)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 0, sums / np.maximum(norm, 1e-9), c)
     own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
     return c[np.unique(own)]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cell_number(candidates: int, cell_rows: int = CELL_ROWS) -> int:
+    """How many cells so many distinct candidates get."""
+    wanted = max(1, -(-candidates // cell_rows))
+    return wanted if wanted <= FIRST_CELLS else math.isqrt(wanted * FIRST_CELLS)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
     """Parts small enough for a matrix of a row by all cells."""
-    return (b.slice(i, CHUNK_QUERIES) for b in batches for i in range(0, max(1, b.num_rows), CHUNK_QUERIES))
+    rows = max(1, min(CHUNK_QUERIES, MATRIX // cells))
+    return (b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))
 
 
 def _home(centroids, dims: int):
@@ -87,7 +102,7 @@ def _home(centroids, dims: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centroids.value
-        for batch in _slices(batches):
+        for batch in _slices(batches, len(c)):
             x = _unit(_matrix(batch.column("vec"), dims)).astype(np.float32)
             cell = (x @ c.T).argmax(axis=1) if len(x) else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
@@ -105,8 +120,7 @@ def _further(centroids, probes: int, dims: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centroids.value.astype(np.float64)
-        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T))).astype(np.float32)
-        for batch in _slices(batches):
+        for batch in _slices(batches, len(c)):
             q = _unit(_matrix(batch.column("vec"), dims))
             if not len(q):
                 continue
@@ -114,7 +128,8 @@ def _further(centroids, probes: int, dims: int):
             reach = np.sqrt(np.maximum(0.0, 2 - 2 * batch.column("kth").to_numpy())) + 1e-4
             near = q @ c.T
             depth = near[np.arange(len(q)), home][:, None] - near
-            open_ = depth <= reach[:, None] * apart[home] + 1e-6
+            apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c[home] @ c.T)))
+            open_ = depth <= reach[:, None] * apart + 1e-6
             open_[np.arange(len(q)), home] = False
             if probes < len(c):
                 open_ &= near >= np.partition(near, len(c) - probes, axis=1)[:, len(c) - probes][:, None]
@@ -133,6 +148,22 @@ def _quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(unit - codes * scale[:, None], axis=1)
 
 
+def _products(q_codes: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """int8 products of a tile, each times its candidate's scale.
+
+    They run as single-precision matrix products: the sums are whole numbers,
+    below 2**24 up to a thousand dimensions, so those hold them exactly.
+    """
+    out = q_codes.astype(np.float32) @ codes
+    out *= scale
+    return out
+
+
+def _slack(q_scale: np.ndarray, q_left: np.ndarray, worst: float, rounding: int) -> np.ndarray:
+    """How far a product may be from the rounded cosine, in units of the query's scale; ``worst`` is left out of a candidate."""
+    return (q_left * (1 + worst) + worst + FLOAT_SLACK + 10.0**-rounding) / q_scale
+
+
 def _tile(k: int, dims: int, rounding: int, opening: bool):
     """The k best candidates of each query of a tile; of all of them if it is the ``opening``, else of those at ``kth`` or above.
 
@@ -164,8 +195,7 @@ def _tile(k: int, dims: int, rounding: int, opening: bool):
         q_all = _unit(_matrix(queries["vec"], dims))
         codes, scale, left_out = _quantised(x)
         worst = float(left_out.max())
-        # products of codes are whole numbers below 2**24 and exact as floats; the candidates' scales are folded in
-        block = np.ascontiguousarray((codes * scale[:, None]).T, dtype=np.float32)
+        block, scale = np.ascontiguousarray(codes.T, dtype=np.float32), scale.astype(np.float32)
         take = min(k, len(x))
         groups = max(1, len(x) // 64)
         lengths, flat_d, flat_at = [], [], []
@@ -173,8 +203,8 @@ def _tile(k: int, dims: int, rounding: int, opening: bool):
         for start in range(0, len(q_all), CHUNK_QUERIES):
             q = q_all[start : start + CHUNK_QUERIES]
             q_codes, q_scale, q_left = _quantised(q)
-            rough = q_codes.astype(np.float32) @ block
-            slack = (q_left * (1 + worst) + worst + FLOAT_SLACK + 10.0**-rounding) / q_scale
+            rough = _products(q_codes, block, scale)
+            slack = _slack(q_scale, q_left, worst, rounding)
             if opening:
                 # the take-th best of the groups' maxima is a lower bound of the take-th best
                 if groups > 2 * take:
@@ -255,8 +285,8 @@ def nearest(
     usable = written(usable.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")}))
     vectors_once = usable.filter("target").groupBy("h1", "h2").agg(F.first("vec").alias("vec"))
     n = vectors_once.count()
-    cells = max(1, min(MOST_CELLS, -(-n // cell_rows)))
-    picked = vectors_once.orderBy("h1", "h2").limit(SAMPLE_PER_CELL * cells)
+    cells = cell_number(n, cell_rows)
+    picked = vectors_once.orderBy("h1", "h2").limit(min(SAMPLE_PER_CELL * cells, max(SAMPLE_ROWS, cells)))
     sample = [r["vec"] for r in picked.select("vec").collect()]
     out = "vector_id string, neighbour_id string, rank_no int"
     if not sample:
@@ -285,7 +315,7 @@ def nearest(
             F.ceil(F.greatest(F.coalesce("c", F.lit(1)), F.lit(1)) / TILE_CANDIDATES).cast("int").alias("n_c"),
             F.ceil(F.col("q") / TILE_QUERIES).cast("int").alias("n_q"),
         )
-        sizes = F.broadcast(written(sizes))  # a row a cell: at most MOST_CELLS
+        sizes = F.broadcast(written(sizes))  # a row a cell
         candidates = (
             placed.filter("ids is not null").select("cell", "h1", F.col("vec").alias("found"), "ids").join(sizes, "cell")
             .select(F.col("cell").alias("cell"), F.pmod("h1", F.col("n_c")).cast("int").alias("c_no"), upto("n_q").alias("q_no"), F.col("found"), F.col("ids").alias("ids"))
