@@ -44,9 +44,45 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+def p9_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The measures of every document and the rules of the whole threshold table."""
+    docs = repetition.repetition_flags(table(spark, d, "documents").select("doc_id", "text"))
+    shares = ("repeated_share", "repeated_line_share", "symbol_share", "stop_word_share")
+    flags = [f"is_{t.name}" for t in repetition.THRESHOLDS]
+    return docs.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in shares], *flags)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_flags": p9_flags}
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(repetition.STOP_WORDS)))
+_LINE_END = r"\r\n|[\n\x0b\f\r\x{85}\x{2028}\x{2029}]"
 
 ORACLE_SQL = {
+    "p9_flags": rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w,
+                   list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{_LINE_END}'), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+            FROM documents),
+        g AS (
+            SELECT doc_id, p, array_to_string(list_slice(w, p, p + 4), ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)),
+        later AS (
+            SELECT doc_id, p FROM (SELECT doc_id, p, min(p) OVER (PARTITION BY doc_id, g) AS first FROM g) WHERE p > first),
+        covered AS (
+            SELECT doc_id, count(DISTINCT p + k) AS n FROM later, (SELECT unnest(range(0, 5)) AS k) GROUP BY 1),
+        m AS (
+            SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words,
+                   coalesce(CAST(coalesce(n, 0) AS DOUBLE) / nullif(len(w), 0), 0) AS repeated_share,
+                   coalesce(CAST(len(lines) - len(list_distinct(lines)) AS DOUBLE) / nullif(len(lines), 0), 0) AS repeated_line_share,
+                   coalesce(CAST(length(regexp_replace(t, '[\p{{L}}\p{{N}} \t\n\x0b\f\r]+', '', 'g')) AS DOUBLE) / nullif(length(t), 0), 0) AS symbol_share,
+                   coalesce(CAST(len(list_filter(w, lambda x: x IN ({_STOP}))) AS DOUBLE) / nullif(len(w), 0), 0) AS stop_word_share
+            FROM d LEFT JOIN covered USING (doc_id))
+        SELECT doc_id, n_words, round(repeated_share, 6) AS repeated_share, round(repeated_line_share, 6) AS repeated_line_share,
+               round(symbol_share, 6) AS symbol_share, round(stop_word_share, 6) AS stop_word_share,
+               repeated_share >= 0.3 AS is_repeated_runs, repeated_line_share >= 0.3 AS is_repeated_lines, symbol_share >= 0.5 AS is_mostly_symbols,
+               stop_word_share <= 0.0 AS is_no_stop_words, n_words <= 3 AS is_very_short
+        FROM m
+    """,
     "p2_found": """
         WITH scored AS (
             SELECT question_id, r.id AS relation_id, max(r.score) AS score
