@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import written
 
 # The caps that define the operators' results.
 CLAIMS_PER_PROPERTY, EDGES_PER_NODE = 5, 50
@@ -97,7 +97,7 @@ def paths_3hop(pairs: DataFrame, edges: DataFrame, limit: int = PATHS_PER_PAIR)
     last = _out(edges, 3).join(both.select(F.col("e").alias("t3")).distinct(), "t3", "left_semi")
     ending = _out(edges, 2).join(last, F.col("h3") == F.col("t2")).withColumnRenamed("t2", "m2")
     third = first.join(ending, (F.col("h2") == F.col("m1")) & (F.col("t3") == F.col("e"))).filter(inner("m2"))
-    chains = cut(third.select("s", "e", "p1", "m1", "p2", "m2", "p3"))  # read three times
+    chains = written(third.select("s", "e", "p1", "m1", "p2", "m2", "p3"))  # read three times
     forward = chains.join(pairs, ["s", "e"], "left_semi")
     turned = chains.select(F.col("e").alias("s"), F.col("s").alias("e"), "p1", "m1", "p2", "m2", "p3").join(pairs, ["s", "e"], "left_semi")
     mirrored = turned.select(
@@ -132,58 +132,77 @@ def path_key(steps: Column) -> Column:
     return F.array_join(F.transform(steps, lambda x: x["id"]), "|")
 
 
-def bfs_pair_paths(pairs: DataFrame, capped: DataFrame, max_depth: int = BFS_DEPTH) -> DataFrame:
+def _base(depth: int, per_node: int) -> int:
+    """The base in which a walk's edge ordinals are digits, so that the order of walks is that of numbers."""
+    if (per_node + 1) ** depth >= 2**63:
+        raise ValueError(f"walks of {depth} edges with {per_node} ordinals a node do not fit a bigint")
+    return per_node + 1
+
+
+def _walked(found: DataFrame, step: DataFrame, depth: int, base: int, keys: list[str]) -> DataFrame:
+    """``s``, ``keys`` and the ``path`` of walks of ``depth`` edges: the edges behind the digits of ``walk``, from ``s`` on."""
+    kind = "array<struct<source:string,target:string,prop:string>>"
+    rows = found.withColumn("at", F.col("s")).withColumn("path", F.array().cast(kind))
+    for n in range(depth):
+        digit = F.expr(f"walk div {base ** (depth - 1 - n)}L % {base}L").cast("int")
+        triple = F.struct(F.col("h").alias("source"), F.col("tail").alias("target"), F.col("predicate").alias("prop"))
+        rows = (
+            rows.withColumn("edge", digit)
+            .join(step, (F.col("at") == F.col("h")) & (F.col("edge") == F.col("edge_ord")))
+            .select("s", *keys, "walk", F.col("tail").alias("at"), F.concat("path", F.array(triple)).alias("path"))
+        )
+    return rows.select("s", *keys, "path")
+
+
+def bfs_pair_paths(pairs: DataFrame, capped: DataFrame, max_depth: int = BFS_DEPTH, per_node: int = EDGES_PER_NODE) -> DataFrame:
     """``(s, e, depth, path)``: the path a bounded breadth-first search from s finds first at e, as triples.
 
     First in queue order means least in the order of the edge ordinals along
     the path, among the shortest paths; so each level is the join of the walks
     of still open pairs with the capped edges, kept down to the least walk per
-    (s, node). A pair of equal ends has no path.
+    (s, node). A walk is one number, its ordinals the digits, and its edges are
+    looked up for found paths only. A pair of equal ends has no path.
+    ``per_node`` is the cap the edges were made with.
     """
+    base = _base(max_depth, per_node)
     open_ = pairs.select("s", "e").distinct().filter("s <> e")
     step = capped.select(F.col("head").alias("h"), "predicate", "tail", "edge_ord")
-    triple = F.struct(F.col("h").alias("source"), F.col("tail").alias("target"), F.col("predicate").alias("prop"))
-    walks = open_.select("s").distinct().select(
-        "s", F.col("s").alias("node"), F.array().cast("array<int>").alias("ord"),
-        F.array().cast("array<struct<source:string,target:string,prop:string>>").alias("path"),
-    )
+    lean = step.drop("predicate")
+    walks = open_.select("s").distinct().select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("walk"))
+    grown = F.col("walk") * base + F.col("edge_ord")
     found = None
     for depth in range(1, max_depth + 1):
         # the last edge is joined on both of its ends, so the widest level is never spread out
-        last = open_.join(walks, "s").join(step, (F.col("node") == F.col("h")) & (F.col("e") == F.col("tail")))
-        grown = F.struct(F.concat("ord", F.array("edge_ord")).alias("ord"), F.concat("path", F.array(triple)).alias("path"))
-        hit = last.groupBy("s", "e").agg(F.min(grown).alias("w")).select("s", "e", F.lit(depth).alias("depth"), F.col("w.path").alias("path"))
-        hit = cut(hit)
-        found = hit if found is None else found.unionByName(hit)
+        last = open_.join(walks, "s").join(lean, (F.col("node") == F.col("h")) & (F.col("e") == F.col("tail")))
+        hit = written(last.groupBy("s", "e").agg(F.min(grown).alias("walk")))
+        part = _walked(hit, step, depth, base, ["e"]).select("s", "e", F.lit(depth).alias("depth"), "path")
+        found = part if found is None else found.unionByName(part)
         if depth < max_depth:
             open_ = open_.join(hit.select("s", "e"), ["s", "e"], "left_anti")
-            onward = walks.join(open_.select("s").distinct(), "s", "left_semi").join(step, F.col("node") == F.col("h"))
-            least = onward.groupBy("s", F.col("tail").alias("node")).agg(F.min(grown).alias("w"))
-            walks = cut(least.select("s", "node", F.col("w.ord").alias("ord"), F.col("w.path").alias("path")))
+            onward = walks.join(open_.select("s").distinct(), "s", "left_semi").join(lean, F.col("node") == F.col("h"))
+            walks = written(onward.groupBy("s", F.col("tail").alias("node")).agg(F.min(grown).alias("walk")))
     return found
 
 
-def bfs_single_paths(starts: DataFrame, capped: DataFrame, depth: int = BFS_DEPTH, limit: int = BFS_PATHS) -> DataFrame:
+def bfs_single_paths(
+    starts: DataFrame, capped: DataFrame, depth: int = BFS_DEPTH, limit: int = BFS_PATHS, per_node: int = EDGES_PER_NODE
+) -> DataFrame:
     """``(s, path_no, path)``: the first ``limit`` paths of exactly ``depth`` edges of a breadth-first search from s.
 
     A node is reached once, by its first path in queue order; nodes reached at
-    an earlier level are not reached again.
+    an earlier level are not reached again. See ``bfs_pair_paths`` for walks.
     """
+    base = _base(depth, per_node)
     step = capped.select(F.col("head").alias("h"), "predicate", "tail", "edge_ord")
-    triple = F.struct(F.col("h").alias("source"), F.col("tail").alias("target"), F.col("predicate").alias("prop"))
-    frontier = starts.select("s").distinct().select(
-        "s", F.col("s").alias("node"), F.array().cast("array<int>").alias("ord"),
-        F.array().cast("array<struct<source:string,target:string,prop:string>>").alias("path"),
-    )
+    frontier = starts.select("s").distinct().select("s", F.col("s").alias("node"), F.lit(0).cast("long").alias("walk"))
     visited = frontier.select("s", "node")
     for level in range(depth):
-        grown = frontier.join(step, F.col("node") == F.col("h")).select(
-            "s", F.col("tail").alias("node"), F.concat("ord", F.array("edge_ord")).alias("ord"), F.concat("path", F.array(triple)).alias("path")
-        )
-        fresh = grown.join(visited, ["s", "node"], "left_anti")
-        least = fresh.groupBy("s", "node").agg(F.min(F.struct("ord", "path")).alias("w"))
-        frontier = cut(least.select("s", "node", F.col("w.ord").alias("ord"), F.col("w.path").alias("path")))
+        onward = frontier.join(step.drop("predicate"), F.col("node") == F.col("h"))
+        onward = onward.select("s", F.col("tail").alias("node"), (F.col("walk") * base + F.col("edge_ord")).alias("walk"))
+        frontier = onward.groupBy("s", "node").agg(F.min("walk").alias("walk")).join(visited, ["s", "node"], "left_anti")
         if level < depth - 1:
+            frontier = written(frontier)
             visited = visited.unionByName(frontier.select("s", "node"))
-    order = Window.partitionBy("s").orderBy("ord")
-    return frontier.withColumn("path_no", F.row_number().over(order)).filter(F.col("path_no") <= limit).select("s", "path_no", "path")
+    order = Window.partitionBy("s").orderBy("walk")
+    first = frontier.withColumn("path_no", F.row_number().over(order)).filter(F.col("path_no") <= limit)
+    return _walked(first.select("s", "path_no", "walk"), step, depth, base, ["path_no"])

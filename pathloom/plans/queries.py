@@ -9,7 +9,7 @@ from ..functions import metrics
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import graph, hierarchy, matching, nested, packed, ranking, search
-from ..session import cut, table
+from ..session import table, written
 from ..sources import catalog as cat
 from ..sources import files
 from .oracle import ORACLE_SQL
@@ -377,24 +377,24 @@ def entity_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def paths_1hop(spark: SparkSession, d: str) -> DataFrame:
     """Paths of one property between the entity pairs."""
-    return graph.paths_1hop(_pairs(spark, d), cut(cat.edges(spark, d)))
+    return graph.paths_1hop(_pairs(spark, d), written(cat.edges(spark, d)))
 
 
 @query
 def paths_2hop(spark: SparkSession, d: str) -> DataFrame:
     """Paths over one node."""
-    return graph.paths_2hop(_pairs(spark, d), cut(cat.edges(spark, d)))
+    return graph.paths_2hop(_pairs(spark, d), written(cat.edges(spark, d)))
 
 
 @query
 def paths_3hop(spark: SparkSession, d: str) -> DataFrame:
     """Paths over two nodes."""
-    return graph.paths_3hop(_pairs(spark, d), cut(cat.edges(spark, d)))
+    return graph.paths_3hop(_pairs(spark, d), written(cat.edges(spark, d)))
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
     """(s, e, hops, steps, path) of the distinct pairs, up to three hops."""
-    found = graph.find_paths(_pairs(spark, d), cut(cat.edges(spark, d)))
+    found = graph.find_paths(_pairs(spark, d), written(cat.edges(spark, d)))
     return found.withColumn("path", graph.path_key(F.col("steps")))
 
 
@@ -414,7 +414,7 @@ def path_node_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bfs_pair_path(spark: SparkSession, d: str) -> DataFrame:
     """The path a bounded search finds for each pair of the first three entities."""
-    capped = cut(graph.capped_edges(cat.edges(spark, d)))
+    capped = written(graph.capped_edges(cat.edges(spark, d)))
     found = graph.bfs_pair_paths(_pairs(spark, d, graph.BFS_ENTITIES), capped)
     return found.select("s", "e", "depth", _triples_text("path").alias("path"))
 
@@ -425,7 +425,7 @@ def _triples_text(path: str):
 
 def _single(spark: SparkSession, d: str) -> DataFrame:
     starts = cat.question_entities(spark, d).filter(F.size("ids") == 1).select(F.col("ids")[0].alias("s"))
-    return graph.bfs_single_paths(starts, cut(graph.capped_edges(cat.edges(spark, d))))
+    return graph.bfs_single_paths(starts, written(graph.capped_edges(cat.edges(spark, d))))
 
 
 @query
@@ -436,8 +436,8 @@ def bfs_single_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def _bfs_texts(spark: SparkSession, d: str) -> DataFrame:
     """(s, e, text) of the pair search, labelled."""
-    capped = cut(graph.capped_edges(cat.edges(spark, d)))
-    found = cut(graph.bfs_pair_paths(_pairs(spark, d, graph.BFS_ENTITIES), capped).select("s", "e", "path"))
+    capped = written(graph.capped_edges(cat.edges(spark, d)))
+    found = written(graph.bfs_pair_paths(_pairs(spark, d, graph.BFS_ENTITIES), capped).select("s", "e", "path"))
     return ranking.label_bfs_paths(found, cat.labels(spark, d)).select("s", "e", "text")
 
 
@@ -480,7 +480,7 @@ def _question_paths(spark: SparkSession, d: str) -> DataFrame:
 @query
 def path_rank_top2(spark: SparkSession, d: str) -> DataFrame:
     """The two best paths of each question, labels and scores joined."""
-    best = cut(ranking.prune_paths(_question_paths(spark, d), "question_id", "score", ["path"]))
+    best = written(ranking.prune_paths(_question_paths(spark, d), "question_id", "score", ["path"]))
     best = ranking.label_paths(best, cat.labels(spark, d))
     pack = F.sort_array(F.collect_list(F.struct("rank_no", "text", F.col("score").cast("string").alias("s"))))
     rows = best.groupBy("question_id").agg(pack.alias("p"))
