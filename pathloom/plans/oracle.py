@@ -113,7 +113,8 @@ def _topk(queries: str, rows: str, k: int, score: str, cte: str = "") -> str:
 _COSINE = "round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(rv AS DOUBLE[])), {}) + 0.0"
 _L2 = "round(1.0 - list_sum(list_transform(list_zip(CAST(qv AS DOUBLE[]), CAST(rv AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 5) + 0.0"
 _PROBES = "SELECT CAST(vec_id AS VARCHAR) AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0"
-_QV = "SELECT id AS query_id, v AS qv FROM usable WHERE collection = 'questions'"
+_QV = r"""SELECT id AS query_id, v AS qv FROM usable
+    WHERE collection = 'questions' AND TRY_CAST(regexp_extract(id, '^question_(\d+)$', 1) AS BIGINT) % 100 = 0"""
 _EV = "SELECT id, v AS rv FROM usable WHERE collection = 'entities'"
 _TWO = "SELECT 'triplet2_' || vec_id AS id, embedding AS rv FROM embeddings WHERE label < 7"
 _THREE = "SELECT 'triplet3_' || vec_id AS id, embedding AS rv FROM embeddings WHERE label >= 7"

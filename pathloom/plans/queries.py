@@ -289,15 +289,25 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
 @query
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of each stated query and every vector."""
-    rows = _embeddings(spark, d).select("id", "v")
-    n = rows.count()
-    return search.exact_topk(_probes(spark, d), rows, k=max(1, n), decimals=5).select("query_id", "id", "score")
+    return search.all_scores(_probes(spark, d), _embeddings(spark, d).select("id", "v"), decimals=5)
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set of exact searches: the questions whose number is divisible by 100."""
+    number = F.regexp_extract("id", r"^question_(\d+)$", 1)
+    return cat.usable_vectors(spark, d, "questions").filter((number != "") & (number.try_cast("bigint") % 100 == 0))
 
 
 @query
 def cosine_topk_entities(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest entities of every question."""
-    return search.exact_topk(cat.usable_vectors(spark, d, "questions"), cat.usable_vectors(spark, d, "entities"), 10)
+    """The ten nearest entities of each stated question, exact."""
+    return search.exact_topk(_asked(spark, d), cat.usable_vectors(spark, d, "entities"), 10)
+
+
+@query
+def indexed_topk_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest entities of every question, through the index."""
+    return search.indexed_topk(cat.usable_vectors(spark, d, "questions"), cat.usable_vectors(spark, d, "entities"), 10)
 
 
 @query
@@ -308,8 +318,8 @@ def cosine_topk_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def l2_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest entities of every question by squared distance; similarity is one minus it."""
-    return search.exact_topk(cat.usable_vectors(spark, d, "questions"), cat.usable_vectors(spark, d, "entities"), 10, "l2", 5)
+    """The ten nearest entities of each stated question by squared distance; similarity is one minus it."""
+    return search.exact_topk(_asked(spark, d), cat.usable_vectors(spark, d, "entities"), 10, "l2", 5)
 
 
 def _triple_search(spark: SparkSession, d: str, two: bool, k: int) -> DataFrame:
