@@ -245,10 +245,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT * FROM sources WHERE (source = 2 AND head_id <> '' AND relation_id <> '' AND tail_id <> '')
             OR (source = 3 AND starts_with(head_id, 'Q') AND starts_with(relation_id, 'P') AND starts_with(tail_id, 'Q'))""",
     "capped_edges": f"WITH {_EDGES}, {_CAPPED} SELECT * FROM capped",
-    "node_label_list": f"""WITH {_EDGES}, {_ENTITY_LABELS},
-        n AS (SELECT head, predicate, tail, row_number() OVER (PARTITION BY head, predicate ORDER BY tail) AS n FROM edges),
-        o AS (SELECT head, string_agg(tail, ', ' ORDER BY predicate, n) AS t FROM n WHERE n <= 3 GROUP BY head)
-        SELECT head AS id, coalesce(label, head) || ', ' || t AS labels FROM o LEFT JOIN entity_labels ON id = head""",
+    "node_label_list": rf"""WITH {_EDGES}, {_ENTITY_LABELS},
+        claims AS (SELECT head, predicate, tail FROM edges UNION SELECT head_id, relation_id, tail_id FROM snomed_parent_child_triples_metadata
+            WHERE relation_id = 'P9104117' AND regexp_matches(head_id, '^Q\d+$') AND regexp_matches(tail_id, '^Q\d+$')),
+        n AS (SELECT head, predicate, tail, row_number() OVER (PARTITION BY head, predicate ORDER BY tail) AS n FROM claims
+            WHERE predicate IN ('P31', 'P279', 'P9104117')),
+        o AS (SELECT head, string_agg(tail, ', ' ORDER BY list_position(['P31', 'P279', 'P9104117'], predicate), n) AS t FROM n WHERE n <= 3 GROUP BY head)
+        SELECT h.head AS id, concat_ws(', ', coalesce(label, h.head), t) AS labels
+        FROM (SELECT DISTINCT head FROM claims) h LEFT JOIN o ON o.head = h.head LEFT JOIN entity_labels ON id = h.head""",
     "hash_embed": """
         SELECT pair_id, lpad(bin(CAST('0x' || substr(sha256(coalesce(question, '')), 1, 4) AS BIGINT)), 16, '0') AS signs
         FROM (SELECT DISTINCT pair_id, question FROM question_sheet)

@@ -11,7 +11,7 @@ from ..functions import vectors as vx
 from ..operators import graph, hierarchy, matching, nested, packed, ranking, search
 from ..session import table, written
 from ..sources import catalog as cat
-from ..sources import files
+from ..sources import files, nodes
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -233,15 +233,19 @@ def capped_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.capped_edges(cat.edges(spark, d))
 
 
+#: What says of a node what it is, in this project's data: the child-of links of source 3 beside the general properties.
+TYPES = (*nodes.TYPE_PROPERTIES, hierarchy.CHILD_OF)
+
+
 @query
 def node_label_list(spark: SparkSession, d: str) -> DataFrame:
-    """Each node's label followed by up to three objects of its two most frequent link types."""
-    edges = cat.edges(spark, d)
+    """Label of each node followed by up to three objects of each of its type properties."""
+    child = cat.triples_3(spark, d).filter((F.col("relation_id") == hierarchy.CHILD_OF) & F.col("head_id").rlike(r"^Q\d+$") & F.col("tail_id").rlike(r"^Q\d+$"))
+    edges = cat.edges(spark, d).unionByName(child.select(F.col("head_id").alias("head"), F.col("relation_id").alias("predicate"), F.col("tail_id").alias("tail"))).distinct()
     first = Window.partitionBy("head", "predicate").orderBy("tail")
-    ranked = edges.withColumn("n", F.row_number().over(first)).filter("n <= 3")
-    objects = ranking.joined(ranked.select("head", "predicate", "n", "tail"), ["head"], ["predicate", "n"], "tail", ", ")
-    label = cat.entity_labels(spark, d).withColumnRenamed("id", "head")
-    return objects.join(label, "head", "left").select(F.col("head").alias("id"), F.concat_ws(", ", F.coalesce("label", "head"), "tail").alias("labels"))
+    claims = edges.filter(F.col("predicate").isin(*TYPES)).withColumn("claim_ord", F.row_number().over(first) - 1)
+    named = edges.select(F.col("head").alias("id")).distinct().join(cat.entity_labels(spark, d), "id", "left")
+    return nodes.type_labels(named, claims, TYPES).select("id", F.array_join("labels", ", ").alias("labels"))
 
 
 # Vectors
