@@ -19,16 +19,33 @@ NO_PATH = "No path found"
 ID_PATTERN = r"^[QP]\d+$"
 PROPERTY_URI, ENTITY_URI = r"/prop/direct/(P\d+)$", r"/entity/(Q\d+)$"
 
-#: Our own wording of what a model is asked.
-SYSTEM_WITH_CONTEXT = (
-    "You compare two database attributes. Decide whether they carry the same meaning. "
-    "Facts from a knowledge graph may be given; use them where they help. "
-    "Names may be abbreviated or carry a schema prefix. Reply 1 for a match and 0 otherwise."
+#: Our own wording of what a model is asked, with worked examples of our own.
+_TASK = "You compare two database attributes. Decide whether they carry the same meaning. "
+_TIPS = (
+    "Names may be abbreviated or carry a schema prefix. "
+    "Compare what the attributes hold, not how they are spelled: a date of birth and an age are related, yet not the same. "
+    "A code and the label of that code do not match. "
+)
+_EXAMPLES_PLAIN = (
+    "\n\nExample 1\nAttribute 1 ship-dep_port and its description 1 harbour a vessel leaves from\n"
+    "Attribute 2 voyage-origin and its description 2 port at which the voyage starts\nReply: 1"
+    "\n\nExample 2\nAttribute 1 ship-crew_no and its description 1 number of people on board\n"
+    "Attribute 2 voyage-id and its description 2 number that identifies the voyage\nReply: 0\n\n"
 )
-SYSTEM_PLAIN = (
-    "You compare two database attributes. Decide whether they carry the same meaning. "
-    "Names may be abbreviated or carry a schema prefix. Reply 1 for a match and 0 otherwise."
+_EXAMPLES_WITH_CONTEXT = (
+    "\n\nExample 1\nAttribute 1 ship-dep_port and its description 1 harbour a vessel leaves from\n"
+    "Attribute 2 voyage-origin and its description 2 port at which the voyage starts\n"
+    "Graph facts: harbour (Q1), subclass of (P1), port (Q2)\nReply: 1"
+    "\n\nExample 2\nAttribute 1 ship-crew_no and its description 1 number of people on board\n"
+    "Attribute 2 voyage-id and its description 2 number that identifies the voyage\n"
+    "Graph facts: crew (Q3) --[part of] (P2)--> ship (Q4) --[used for] (P3)--> voyage (Q5)\nReply: 0\n\n"
+)
+_REPLY = "Reply 1 for a match and 0 otherwise."
+SYSTEM_WITH_CONTEXT = (
+    _TASK + "Facts from a knowledge graph may be given; use them where they help and leave aside those that do not bear on the question. "
+    + _TIPS + _EXAMPLES_WITH_CONTEXT + _REPLY
 )
+SYSTEM_PLAIN = _TASK + _TIPS + _EXAMPLES_PLAIN + _REPLY
 NO_CONTEXT = "(none; decide from the attributes alone)"
 
 

@@ -35,6 +35,19 @@ def l2_normalize_safe(v: Column) -> Column:
     return F.transform(as_doubles(v), lambda x: x / length)
 
 
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """Unit vector of the mean of the ``vectors`` (an array of arrays) whose ``mask`` is not 0.
+
+    The count is taken as 1e-9 at least, so with nothing marked the result is
+    the zero vector; no vectors at all give null.
+    """
+    marked = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda e: e["m"] != 0)
+    weight = F.greatest(F.size(marked).cast("double"), F.lit(1e-9))
+    zeros = F.transform(as_doubles(vectors[0]), lambda _: F.lit(0.0))
+    total = F.aggregate(marked, zeros, lambda s, e: F.zip_with(s, as_doubles(e["v"]), lambda a, b: a + b))
+    return F.when(F.size(vectors) > 0, l2_normalize_safe(F.transform(total, lambda x: x / weight)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, null where a vector has no length."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))

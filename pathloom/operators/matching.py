@@ -43,24 +43,39 @@ def responder_factory(name: str) -> Callable[[], Responder]:
 
 
 def respond(prompts: DataFrame, system: str, model: str = "stub", prompt: str = "prompt") -> DataFrame:
-    """Adds ``reply`` to every row. Null prompts get a null reply, and a batch that fails gets null replies."""
+    """Adds ``reply`` and ``error`` to every row.
+
+    Null prompts get a null reply. Prompts are sent in batches; where a batch
+    fails each of its prompts is sent alone, and one that fails again has a
+    null reply and says why in ``error``.
+    """
     factory = responder_factory(model)
-    columns = [c for c in prompts.columns if c != "reply"]
+    columns = [c for c in prompts.columns if c not in ("reply", "error")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
+
+        def answered(asked: list[str]) -> list[tuple[str | None, str | None]]:
+            try:
+                replies = call(system, asked)
+                if len(replies) != len(asked):
+                    raise ValueError(f"{len(replies)} replies to {len(asked)} prompts")
+                return [(r, None) for r in replies]
+            except Exception as e:
+                if len(asked) == 1:
+                    return [(None, f"{type(e).__name__}: {e}")]
+            return [pair for one in asked for pair in answered([one])]
+
         for pdf in batches:
             asked = pdf[prompt].notna()
-            replies = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            try:
-                replies[asked] = call(system, pdf.loc[asked, prompt].tolist())
-            except Exception:  # a failed call must not end the run
-                pass
-            yield pdf.assign(reply=replies)
+            found = pd.DataFrame({"reply": None, "error": None}, index=pdf.index, dtype=object)
+            if asked.any():
+                found.loc[asked] = answered(pdf.loc[asked, prompt].tolist())
+            yield pdf.assign(reply=found["reply"], error=found["error"])
 
     narrow = prompts.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema)
-    return narrow.mapInPandas(run, f"{schema}, reply string")
+    return narrow.mapInPandas(run, f"{schema}, reply string, error string")
 
 
 def predict(questions: DataFrame, model: str = "stub", paths: str | None = None) -> DataFrame:

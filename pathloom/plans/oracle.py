@@ -205,7 +205,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT mention, entity_id FROM (SELECT DISTINCT mention FROM mention) LEFT JOIN links ON m = lower(trim(mention))""",
     "enumerate_ids": """
         SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 500 AS BIGINT) AS page
-        FROM (SELECT DISTINCT id FROM vector_collection WHERE collection = 'entities' AND id IS NOT NULL)
+        FROM (SELECT DISTINCT id FROM vector_collection WHERE collection = 'entities' AND starts_with(id, 'Q'))
     """,
     "collection_ids": """
         SELECT collection, id, collection || '_' || (row_number() OVER (PARTITION BY collection ORDER BY id) - 1) AS row_id

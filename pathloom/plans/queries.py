@@ -121,8 +121,7 @@ def entity_link_top1(spark: SparkSession, d: str) -> DataFrame:
 @query
 def enumerate_ids(spark: SparkSession, d: str) -> DataFrame:
     """All entity ids in order with their page of 500."""
-    ids = table(spark, d, "vector_collection").filter("collection = 'entities' and id is not null").select("id").distinct()
-    return files.index_rows(ids, ["id"], "i").select("id", F.floor(F.col("i") / 500).cast("long").alias("page"))
+    return files.id_page(table(spark, d, "vector_collection").filter("collection = 'entities'"), prefix="Q")
 
 
 # Sinks

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,12 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; set a local one only where none is configured."""
+    """Use the shared folder in ``spark.checkpoint.dir``.
+
+    Where none is configured, a local session gets a folder of its own that
+    goes with the process; on a cluster that is an error, since the executors
+    could not read back what the others wrote.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pathloom-checkpoint-"))
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="pathloom-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,9 +65,24 @@ def written(df: DataFrame) -> DataFrame:
     folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``written`` left in the shared folder.
+_TABLES: list[str] = []
+
+
+def discard_tables(spark: SparkSession) -> int:
+    """Remove the tables this process has written so far, once no DataFrame on them is needed any more; how many there were."""
+    n = 0
+    while _TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        n += 1
+    return n
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let the workers of this application import the package, wherever it lies on the driver."""
     sc = spark.sparkContext
