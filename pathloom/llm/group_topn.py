@@ -19,10 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
+from ..session import written
 
-#: Bounds are broadcast up to this size; beyond it they are joined by a shuffle of the pre-aggregated items.
-BROADCAST_BYTES, BOUND_ROW_BYTES = 32 << 20, 96
+#: Bounds are broadcast up to this size, a bound taking so many bytes beside its group's id; beyond it they are joined by a
+#: shuffle of the pre-aggregated items.
+BROADCAST_BYTES, BOUND_ROW_BYTES = 32 << 20, 64
 #: Rows a worker gathers before it reduces them.
 GATHER_ROWS = 1_000_000
 
@@ -113,8 +114,9 @@ def top_items(
     bounds = (
         rows.mapInArrow(_reduce(n, _bounds_only(n)), "grp string, bound double").groupBy("grp").agg(F.max("bound").alias("bound"))
     )
-    bounds = bounds.persist()
-    small = fits_broadcast(bounds, BOUND_ROW_BYTES, broadcast_bytes)
+    bounds = written(bounds)
+    size = bounds.agg(F.sum(F.octet_length("grp") + BOUND_ROW_BYTES).alias("n")).first()["n"] or 0
+    small = size <= broadcast_bytes
     local = rows.mapInArrow(_reduce(n, _local_best(n)), "grp string, item string, score double")
     kept = local.join(F.broadcast(bounds) if small else bounds, "grp", "left").filter(
         F.col("bound").isNull() | (F.col("score") >= F.col("bound"))
