@@ -60,16 +60,21 @@ def _repeat(value: Column, times: Column, step) -> Column:
     return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), times), value, lambda v, _: step(v))).otherwise(value)
 
 
-def decoded(text: Column) -> Column:
+def _repaired(text: Column) -> Column:
+    """JSON text with the replacement sign for escaped lone halves of surrogate pairs."""
+    fixed = F.regexp_replace(text, r"(\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\+u[dD][c-fC-F]))|((?<!\\u[dD][89abAB][0-9a-fA-F]{2})(?<!\\u[dD][89abAB][0-9a-fA-F]{2}\\)\\u[dD][c-fC-F][0-9a-fA-F]{2})", r"\\ufffd")
+    return F.when(text.rlike(r"\\u[dD][89a-fA-F]"), fixed).otherwise(text)
+
+
+def decoded(text: Column, repair: bool = False) -> Column:
     """The text of a JSON list or map, also where it was encoded repeatedly; null for anything else.
 
     Text encoded n times starts with n quotation marks, each behind twice as
     many backslashes and one as the one before, so the run it starts with
-    bounds n.
+    bounds n. ``repair`` replaces lone surrogate halves, once for a whole record.
     """
     trim = lambda t: F.trim(t, F.lit(" \t\r\n"))
-    whole = F.regexp_replace(text, r"(\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\+u[dD][c-fC-F]))|((?<!\\u[dD][89abAB][0-9a-fA-F]{2})(?<!\\u[dD][89abAB][0-9a-fA-F]{2}\\)\\u[dD][c-fC-F][0-9a-fA-F]{2})", r"\\ufffd")
-    whole = F.when(text.rlike(r"\\u[dD][89a-fA-F]"), whole).otherwise(text)  # lone surrogate halves
+    whole = _repaired(text) if repair else text
 
     def once(t: Column) -> Column:
         inner = F.from_json(F.concat(F.lit("["), t, F.lit("]")), _LIST, _OPTIONS)
@@ -77,14 +82,25 @@ def decoded(text: Column) -> Column:
 
     run = F.length(F.regexp_extract(trim(text), r'^["\\]*', 0))
     depth = F.when(run > 0, F.ceil(F.log2(run.cast("double") + 1)).cast("int")).otherwise(0)
-    return _let(_repeat(trim(whole), depth, once), lambda t: F.when(t.startswith("[") | t.startswith("{"), t))
+    sound = lambda t: t.startswith("[") | t.startswith("{")
+    deep = _let(_repeat(trim(whole), depth, once), lambda t: F.when(sound(t), t))
+    return F.when(sound(text), whole).when(text.isNotNull(), deep)
 
 
 def _known_kind(kind: Column) -> Column:
     return _let(F.lower(F.trim(kind)), lambda k: F.when(k.isin(*STEP_KINDS), k))
 
 
-def step_of(text: Column) -> Column:
+def _read(text: Column) -> Column:
+    """The elements or the members of JSON text, parsed once; both null for any other text."""
+    return F.struct(_elements(text).alias("list"), _members(text).alias("map"))
+
+
+def _items_of(read: Column) -> Column:
+    return F.coalesce(read["list"], F.map_values(read["map"]))
+
+
+def _step(read: Column) -> Column:
     """(kind, id) of a step, whichever way it is written; null if it is none."""
 
     def pair(kind: Column, member: Column) -> Column:
@@ -95,45 +111,50 @@ def step_of(text: Column) -> Column:
         """An id, or the id of a map that holds one."""
         return F.when(text.startswith("{"), _members(text)["id"]).otherwise(text)
 
-    def of_map(m: Column) -> Column:
-        member = F.coalesce(_members(m["ref"])["id"], m["id"])
-        single = F.when(F.size(m) == 1, pair(F.map_keys(m)[0], F.map_values(m)[0]))
-        return F.when(F.array_contains(F.map_keys(m), "kind"), pair(m["kind"], member)).otherwise(single)
+    a, m = read["list"], read["map"]
+    member = F.coalesce(F.when(m["ref"].startswith("{"), F.get_json_object(m["ref"], "$.id")), m["id"])
+    single = F.when(F.size(m) == 1, pair(F.map_keys(m)[0], F.map_values(m)[0]))
+    of_map = F.when(m["kind"].isNotNull(), pair(m["kind"], member)).otherwise(single)
+    of_list = F.when((F.size(a) >= 2) & ~F.substring(a[0], 1, 1).isin("[", "{"), pair(a[0], named(a[1])))
+    return F.when(a.isNotNull(), of_list).when(m.isNotNull(), of_map)
 
-    listed = _let(_elements(text), lambda a: F.when(F.size(a) >= 2, pair(a[0], named(a[1]))))
-    return F.when(text.startswith("["), listed).when(text.startswith("{"), _let(_members(text), of_map))
+
+def step_of(text: Column) -> Column:
+    """(kind, id) of a step written as JSON text; null if it is none."""
+    return _let(_read(text), _step)
 
 
 def raw_paths(text: Column) -> Column:
-    """Paths of (kind, id) steps: a list or map of paths, one path alone, one step alone, or any of them as JSON text."""
+    """Paths of (kind, id) steps: a list or map of paths, one path alone, one step alone, or any of them as JSON text.
 
-    def steps(items: Column) -> Column:
-        return F.filter(F.transform(items, lambda e: step_of(_as_text(e))), lambda s: s.isNotNull())
+    Each level is parsed once: the whole, its paths, their steps.
+    """
+    sound = lambda steps: F.filter(steps, lambda s: s.isNotNull())
 
-    def path(e: Column) -> Column:
-        return _let(step_of(e), lambda s: F.when(s.isNotNull(), F.array(s)).otherwise(F.coalesce(steps(_items(e)), F.array().cast(_STEPS))))
+    def path(read: Column) -> Column:
+        """A step alone, or the steps of a list or map."""
+        several = sound(F.transform(_items_of(read), lambda e: step_of(_as_text(e))))
+        return _let(_step(read), lambda s: F.when(s.isNotNull(), F.array(s)).otherwise(several))
 
-    def paths(items: Column) -> Column:
-        """Each element is a path; what is no list and no map is none."""
-        return F.transform(F.filter(F.transform(items, decoded), lambda e: e.isNotNull()), path)
+    def of_elements(reads: Column) -> Column:
+        """If any element is a step they are one path, else each list or map is a path."""
+        own = _let(sound(F.transform(reads, _step)), lambda s: F.when(F.size(s) > 0, F.array(s)))
+        return F.coalesce(own, F.transform(F.filter(reads, lambda r: r["list"].isNotNull() | r["map"].isNotNull()), path))
 
-    def of_items(items: Column) -> Column:
-        single = _let(steps(items), lambda s: F.when(F.size(s) > 0, F.array(s)))
-        return F.coalesce(single, paths(items))
+    def of_whole(read: Column) -> Column:
+        elements = F.transform(_items_of(read), lambda e: _read(decoded(e)))
+        return _let(_step(read), lambda s: F.when(s.isNotNull(), F.array(F.array(s))).otherwise(_let(elements, of_elements)))
 
-    def of_text(t: Column) -> Column:
-        return _let(step_of(t), lambda s: F.when(s.isNotNull(), F.array(F.array(s))).otherwise(_let(_items(t), of_items)))
-
-    return F.coalesce(_let(decoded(text), of_text), F.array().cast(f"array<{_STEPS}>"))
+    return F.coalesce(_let(_read(decoded(text)), of_whole), F.array().cast(f"array<{_STEPS}>"))
 
 
 def _as_text(e: Column) -> Column:
-    return F.trim(e, F.lit(" \t\r\n"))
+    return F.when(e.startswith("[") | e.startswith("{"), e).otherwise(F.trim(e, F.lit(" \t\r\n")))
 
 
 def questions(text: Column) -> Column:
     """(question id, raw paths) of a run's results: a list of records, or a map by question id, also under ``results``."""
-    record = lambda q, r: F.struct(q.alias("question_id"), raw_paths(r["raw_paths"]).alias("raw_paths"))
+    record = lambda q, r: F.struct(q.alias("question_id"), r["raw_paths"].alias("raw_paths"))
 
     def within(t: Column) -> Column:
         return _let(_members(t), lambda m: F.when(F.array_contains(F.map_keys(m), "results"), decoded(m["results"])).otherwise(t))
@@ -151,8 +172,14 @@ def questions(text: Column) -> Column:
         return F.transform(typed, lambda r: F.struct(F.lit(None).cast("string").alias("key"), r.alias("r")))
 
     def of_list(t: Column) -> Column:
-        listed = F.transform(_elements(t), lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value")))
-        return F.coalesce(of_records(listed), of_read(keyed(F.from_json(t, f"array<{_RECORD}>", _OPTIONS))))
+        """All elements as records at once, if all of them are maps; else one by one."""
+        one_by_one = of_records(F.transform(_elements(t), lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value"))))
+
+        def typed(records: Column) -> Column:
+            whole = records.isNotNull() & F.forall(records, lambda r: r.isNotNull())
+            return F.when(whole, of_read(keyed(records))).otherwise(F.coalesce(one_by_one, of_read(keyed(records))))
+
+        return _let(F.from_json(t, f"array<{_RECORD}>", _OPTIONS), typed)
 
     def of_map(t: Column, m: Column) -> Column:
         typed = F.map_entries(F.from_json(t, f"map<string,{_RECORD}>", _OPTIONS))
@@ -164,7 +191,9 @@ def questions(text: Column) -> Column:
         return F.when(t.startswith("["), of_list(t)).otherwise(_let(_members(t), lambda m: of_map(t, m)))
 
     depth = F.size(F.split(text, '"results')) - 1  # each level under that name writes it once
-    return F.coalesce(_let(_repeat(decoded(text), depth, within), of_text), F.array().cast(_QUESTIONS))
+    records = _let(_repeat(decoded(text, True), depth, within), of_text)
+    read = F.transform(records, lambda r: F.struct(r["question_id"].alias("question_id"), raw_paths(r["raw_paths"]).alias("raw_paths")))
+    return F.coalesce(read, F.array().cast(_QUESTIONS))
 
 
 def find_number(text: Column, name: str) -> Column:
