@@ -246,13 +246,14 @@ def build_hierarchy(links: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFra
         )
     if rounds:
         done = written(done)
-    for n, (leaves, spliced) in enumerate(reversed(rounds)):
+    for n, (leaves, spliced) in enumerate(reversed(rounds), 1):
+        # one table of all that is placed, written anew: a round adds a constant share, so all of them write a multiple of the last
         done = done.unionByName(written(_placed(spliced, done, True)))
         tops = leaves.filter("parent is null").select(
             "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").alias("path"), "below", F.lit(False).alias("ring")
         )
-        placed = _placed(leaves, done, False).unionByName(tops)
-        done = done.unionByName(placed if n == len(rounds) - 1 else written(placed))
+        done = done.unionByName(_placed(leaves, done, False)).unionByName(tops)
+        done = done if n == len(rounds) else written(done)
     return done.select(
         F.col("node").alias("node_id"),
         F.col("root").alias("root_id"),
