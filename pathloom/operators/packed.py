@@ -83,6 +83,8 @@ _TOKEN = re.compile(
     r"(\(([QP])\d+\)(?:(\s*(?:[-=]+>|→|--+\[?|[-=]+(?=\s*(?:[|;\r\n\t]|$))))|([ ]?[\r\n\t|;,/]))?"
     r"|([\r\n\t|;,/])|(<[^<>\r\n]*>)|(?<![\w(])Q\d+(?![\w)]))"
 )
+#: Text of nothing but labels with ids and single delimiters, the most frequent one, is read by this.
+_PLAIN = re.compile(r"( *)([^()<>|;,/\r\n\tQ]*\(([QP])\d+\))(\s*(?:[-=]+>|→|--+\[?)|[ ]?[\r\n\t|;,/])?")
 _BLANKS = " \t\r\n|;,/"
 _TAIL = _BLANKS + "]}"
 _MARK = re.compile(r"(?:[•*–-]\s+|\(\d+\)\s*|\d+[.)]\s+)")
@@ -145,6 +147,23 @@ def pieces(text: str) -> tuple[str, str, list[int], list[int]]:
     """
     text = text.rstrip(_TAIL)
     kinds, before, starts, ends = [], [], [], []
+    between, at = " ", 0
+    for lead, body, entity, tail in _PLAIN.findall(text) if text[:1] not in ("Q", "<") else ():
+        kinds.append("E" if entity == "Q" else "P")
+        before.append(between)
+        at += len(lead)
+        starts.append(at)
+        at += len(body)
+        ends.append(at)
+        if tail:
+            at += len(tail)
+            c = tail[-1]
+            between = c if c in ",|;/" else _CLASS.get(c) or ">"
+        else:
+            between = " "
+    if at == len(text) and kinds and between != ">":
+        return "".join(kinds), "".join(before), starts, ends
+    kinds, before, starts, ends = [], [], [], []
     between, at = " ", 0  # the delimiter class so far, and where the text behind it starts
     parts = iter(_TOKEN.split(text))
     for chars, token, entity, chain, after, delimiter, angle in zip(*[parts] * 7):
