@@ -250,7 +250,12 @@ class Model:
             self.ends[s] = (stop[s] + PRIOR_WEIGHT * prior) / (stop[s] + go[s] + PRIOR_WEIGHT) if moves else 1.0
 
     def __reduce__(self):
-        return Model, (self.counts, self.members, self.sorts)
+        if self.members is None:
+            return Model, (self.counts, None, self.sorts)
+        at = np.flatnonzero(self.members)
+        if 2 * len(at) > self.members.size:
+            return Model, (self.counts, self.members, self.sorts)
+        return _sparse, (self.counts, at.astype(np.int32), self.members.ravel()[at], self.sorts)
 
     def arcs(self, state: str, delimiter: str, kind: str) -> list[tuple[str, str, float]]:
         """(move, next state, probability) of all moves from ``state`` over ``delimiter`` to a piece of ``kind``."""
@@ -284,6 +289,13 @@ class Model:
         return "path" if 2 * self.sorts[2] >= self.sorts[0] else "entity" if 2 * self.sorts[1] >= self.sorts[0] else "any"
 
 
+def _sparse(counts: np.ndarray, at: np.ndarray, n: np.ndarray, sorts: np.ndarray) -> Model:
+    """A model that was sent with its counters above zero only."""
+    members = np.zeros(HASHES * BUCKETS, dtype=np.float32)
+    members[at] = n
+    return Model(counts, members.reshape(HASHES, BUCKETS), sorts)
+
+
 class Lattice:
     """All ways through pieces of given kinds and delimiters.
 
@@ -639,8 +651,9 @@ def learn(cells: DataFrame, fields: list[str], rounds: int = EM_ROUNDS) -> dict[
     rest = shapes.unionByName(survey.filter("text is not null").select("field", "atomic", "text"), allowMissingColumns=True)
     models = [Model() for _ in fields]
     for _ in range(rounds):
-        counted = rest.mapInArrow(_count(sc.broadcast(models)), "field int, counter int, n double")
-        flat = certain + sums(counted)
+        shared = sc.broadcast(models)
+        flat = certain + sums(rest.mapInArrow(_count(shared), "field int, counter int, n double"))
+        shared.destroy()
         models = [
             Model(own[: len(COUNTED)], own[_HEAD:].reshape(HASHES, BUCKETS).astype(np.float32), own[len(COUNTED) : _HEAD]) for own in flat
         ]
