@@ -83,8 +83,9 @@ _TOKEN = re.compile(
     r"(\(([QP])\d+\)(?:(\s*(?:[-=]+>|→|--+\[?|[-=]+(?=\s*(?:[|;\r\n\t]|$))))|([ ]?[\r\n\t|;,/]))?"
     r"|([\r\n\t|;,/])|(<[^<>\r\n]*>)|(?<![\w(])Q\d+(?![\w)]))"
 )
-#: Text of nothing but labels with ids and single delimiters, the most frequent one, is read by this.
-_PLAIN = re.compile(r"( *)([^()<>|;,/\r\n\tQ]*\(([QP])\d+\))(\s*(?:[-=]+>|→|--+\[?)|[ ]?[\r\n\t|;,/])?")
+#: Text of nothing but labels with ids and single delimiters, the most frequent one, is read by this; longer labels are left
+#: to the general pattern, so that no long text is tried from each of its positions to its end.
+_PLAIN = re.compile(r"( {0,8}+)(?! )([^()<>|;,/\r\n\tQ]{0,400}+\(([QP])\d+\))(\s*(?:[-=]+>|→|--+\[?)|[ ]?[\r\n\t|;,/])?")
 _BLANKS = " \t\r\n|;,/"
 _TAIL = _BLANKS + "]}"
 _MARK = re.compile(r"(?:[•*–-]\s+|\(\d+\)\s*|\d+[.)]\s+)")
