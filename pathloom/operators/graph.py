@@ -174,13 +174,15 @@ def bfs_pair_paths(pairs: DataFrame, capped: DataFrame, max_depth: int = BFS_DEP
     for depth in range(1, max_depth + 1):
         # the last edge is joined on both of its ends, so the widest level is never spread out
         last = open_.join(walks, "s").join(lean, (F.col("node") == F.col("h")) & (F.col("e") == F.col("tail")))
-        hit = written(last.groupBy("s", "e").agg(F.min(grown).alias("walk")))
+        hit = last.groupBy("s", "e").agg(F.min(grown).alias("walk"))
+        hit = written(hit) if depth < max_depth else hit  # what is read twice
         part = _walked(hit, step, depth, base, ["e"]).select("s", "e", F.lit(depth).alias("depth"), "path")
         found = part if found is None else found.unionByName(part)
         if depth < max_depth:
             open_ = open_.join(hit.select("s", "e"), ["s", "e"], "left_anti")
             onward = walks.join(open_.select("s").distinct(), "s", "left_semi").join(lean, F.col("node") == F.col("h"))
-            walks = written(onward.groupBy("s", F.col("tail").alias("node")).agg(F.min(grown).alias("walk")))
+            walks = onward.groupBy("s", F.col("tail").alias("node")).agg(F.min(grown).alias("walk"))
+            walks = written(walks) if depth < max_depth - 1 else walks
     return found
 
 
