@@ -121,6 +121,7 @@ def find_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 3, limit: int
         (paths_3hop, ["s", "p1", "m1", "p2", "m2", "p3", "e"]),
     ]
     found = None
+    pairs = written(pairs.select("s", "e").distinct())  # read by every branch of every search
     for hops, (search, names) in enumerate(parts[:max_hops], 1):
         part = search(pairs, edges, limit).select("s", "e", F.lit(hops).alias("hops"), _steps(names).alias("steps"))
         found = part if found is None else found.unionByName(part)
